@@ -1,22 +1,77 @@
-"""Regular expressions with one meaning in Spark: Unicode classes, ``.`` stops at LF only."""
+"""Regular expressions with one meaning in Spark: Unicode classes, ``.`` stops at LF only.
+
+The Unicode flag makes matching several times slower, so it is set only for patterns with a
+class that it changes; word boundaries are Unicode-aware without it.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
+from re import _parser as parser
+from re._constants import LITERAL
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FLAGS = "(?dU)"
+_CLASS = re.compile(r"\\[dDsSwW]")
+
+
+def flagged(pattern: str, any_case: bool = False) -> str:
+    """A pattern with the flags that it needs."""
+    return f"(?d{'U' if _CLASS.search(pattern) else ''}{'i' if any_case else ''})" + pattern
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """Alternatives at the top level of a pattern."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+@lru_cache(maxsize=1024)
+def required_literals(pattern: str) -> tuple[str, ...] | None:
+    """Literals of which every match holds at least one: the longest run of plain characters
+    of each alternative. None if an alternative has no such run."""
+    out = []
+    for alternative in _alternatives(pattern):
+        runs, run = [], ""
+        for op, value in parser.parse(alternative):
+            if op is LITERAL:
+                run += chr(value)
+            else:
+                runs.append(run)
+                run = ""
+        best = max([*runs, run], key=len)
+        if len(best) < 2:
+            return None
+        out.append(best)
+    # A literal that holds another one adds nothing.
+    return tuple(a for a in dict.fromkeys(out) if not any(b != a and b in a for b in out))
 
 
 def matches(text: Column, pattern: str, any_case: bool = False) -> Column:
-    return text.rlike(("(?dUi)" if any_case else _FLAGS) + pattern)
+    """Whether a pattern occurs. Plain substring tests for its required literals come first:
+    they are many times cheaper than the pattern and rule out most texts."""
+    hit = text.rlike(flagged(pattern, any_case))
+    literals = None if any_case else required_literals(pattern)
+    return any_of([text.contains(x) for x in literals]) & hit if literals else hit
 
 
 def extracted(text: Column, pattern: str, any_case: bool = False, group: int = 0, case: str = "", most: int = 0) -> Column:
     """Sorted distinct matches of a pattern, at most ``most`` of them (0: all)."""
-    found = F.regexp_extract_all(text, F.lit(("(?dUi)" if any_case else _FLAGS) + pattern), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(flagged(pattern, any_case)), F.lit(group))
     if case:
         found = F.transform(found, F.lower if case == "lower" else F.upper)
     found = F.array_sort(F.array_distinct(found))
@@ -31,6 +86,12 @@ def all_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, flags, F.lit(True))
 
 
+def exploded(array: Column) -> Column:
+    """Explode whose input is evaluated once: the plain one gets a filter on the array's size
+    that computes costly arrays a second time. Drop the null element of empty arrays after it."""
+    return F.explode_outer(array)
+
+
 def literal_map(table: dict[str, list[str]]) -> Column:
     """A map literal; for small fixed tables it saves a join."""
     return F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))

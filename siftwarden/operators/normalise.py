@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwarden.functions.text import all_of, any_of, extracted, matches
+from siftwarden.functions.text import all_of, any_of, exploded, extracted, matches
 from siftwarden.packs import rules
 
 
-def lane(raw: Column) -> Column:
+def lane(low: Column) -> Column:
+    """Lane of lower-cased text."""
     out = None
     for name, pattern in rules.LANES.items():
-        hit = matches(raw, pattern, any_case=True)
+        hit = matches(low, pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(rules.LANE_ORDER[-1])
 
@@ -70,7 +71,7 @@ def normalise(logs: DataFrame, hint: str | None = None, use_intel: bool = True)
     """
     out = logs.withColumn("_raw", F.coalesce("raw", F.lit(""))).withColumn("_low", F.lower("_raw"))
     entities = F.struct(*(extracted(F.col("_raw"), p, not exact, group, case, most).alias(name) for name, (p, exact, group, case, most) in rules.ENTITIES.items()))
-    out = out.withColumns({"lane": lane(F.col("_raw")), "log_type": log_type(F.col("_low"), F.col(hint) if hint else None), "entities": entities, "signals": signals(F.col("_low")), "rule_controls": keyword_controls(F.col("_low"))})
+    out = out.withColumns({"lane": lane(F.col("_low")), "log_type": log_type(F.col("_low"), F.col(hint) if hint else None), "entities": entities, "signals": signals(F.col("_low")), "rule_controls": keyword_controls(F.col("_low"))})
     empty = F.array().cast("array<struct<type:string,value:string>>")
     out = out.withColumn("ioc_hits", indicator_hits(F.col("entities")) if use_intel else empty)
     # A known-bad indicator is itself a signal.
@@ -82,7 +83,7 @@ def normalise(logs: DataFrame, hint: str | None = None, use_intel: bool = True)
 def entity_rows(findings: DataFrame, *keys: str) -> DataFrame:
     """One row per entity: (keys, kind, value)."""
     parts = F.concat(*(F.transform(F.col(f"entities.{e}"), _tagged("kind", e)) for e in rules.ENTITIES))
-    return findings.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.kind", "x.value")
+    return findings.select(*keys, exploded(parts).alias("x")).where("x is not null").select(*keys, "x.kind", "x.value")
 
 
 def enrich(findings: DataFrame, feed: DataFrame, *keys: str) -> DataFrame:
@@ -105,7 +106,7 @@ def detections() -> list[tuple[str, str, Column]]:
 def alerts(findings: DataFrame, *keys: str) -> DataFrame:
     """Every rule that fires: (keys, rule, severity)."""
     fired = F.array_compact(F.array(*(F.when(p, F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, s, p in detections())))
-    return findings.select(*keys, F.explode(fired).alias("a")).select(*keys, "a.rule", "a.severity")
+    return findings.select(*keys, exploded(fired).alias("a")).where("a is not null").select(*keys, "a.rule", "a.severity")
 
 
 def first_rule() -> Column:

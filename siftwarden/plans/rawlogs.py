@@ -65,7 +65,7 @@ RAW_LOGS_SQL = f"""SELECT event_id AS event_seq, ts, event_type AS source,
 
 
 def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
-    table(spark, folder, "events").createOrReplaceTempView("events")
+    table(spark, folder, "events", spread=True).createOrReplaceTempView("events")
     out = spark.sql(RAW_LOGS_SQL)
     return out.withColumn("ts", out.ts.cast("timestamp"))
 

@@ -21,7 +21,7 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Log entries with message and template."""
-    requests = logparse.log_entries(table(spark, folder, "analyze_request"), "analyze_request", "request_id", "raw_log")
+    requests = logparse.log_entries(table(spark, folder, "analyze_request", spread=True), "analyze_request", "request_id", "raw_log")
     return requests.unionByName(logparse.log_entries(table(spark, folder, "gold_set"), "gold_set", "id", "raw"))
 
 
@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_triples(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.triples(table(spark, folder, "mvp_findings"))
+    return nested.triples(table(spark, folder, "mvp_findings", spread=True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +61,7 @@ FLAT_TABLES = {
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row per value of the packed framework cells."""
-    return packed.packed_items(table(spark, folder, "scf_sample"))
+    return packed.packed_items(table(spark, folder, "scf_sample", spread=True))
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_entries": p2_entries, "p3_found": p3_found, **FLAT_TABLES, "p5_found": p5_found}

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwarden.functions.text import exploded
 from siftwarden.operators import catalog, graphs, mapping, metrics, normalise, policy, redaction, scoring, vectors, verdicts
 from siftwarden.packs import frameworks, rules
 from siftwarden.plans.rawlogs import RAW_LOGS_SQL, SNAPSHOT_SQL, raw_logs, snapshots
-from siftwarden.sources.tables import table
+from siftwarden.sources.tables import checkpointed, table
 
 
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,22 +24,22 @@ def _resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lane_counts(spark, folder):
-    lanes = raw_logs(spark, folder).select(normalise.lane(F.col("raw")).alias("lane"))
+    lanes = raw_logs(spark, folder).select(normalise.lane(F.lower("raw")).alias("lane"))
     return lanes.groupBy("lane").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lane_drain_order(spark, folder):
-    rows = raw_logs(spark, folder).select("event_seq", normalise.lane(F.col("raw")).alias("lane"))
+    rows = raw_logs(spark, folder).select("event_seq", normalise.lane(F.lower("raw")).alias("lane"))
     return metrics.drain_order(rows).select("event_seq", "lane", "drain_pos")
 
 
 def request_lane_counts(spark, folder):
-    rows = table(spark, folder, "analyze_request").where("raw_log is not null").select(normalise.lane(F.col("raw_log")).alias("lane"), normalise.log_type(F.lower("raw_log")).alias("log_type"))
+    rows = table(spark, folder, "analyze_request", spread=True).where("raw_log is not null").select(normalise.lane(F.lower("raw_log")).alias("lane"), normalise.log_type(F.lower("raw_log")).alias("log_type"))
     return rows.groupBy("lane", "log_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def request_controls(spark, folder):
-    rows = table(spark, folder, "analyze_request").where("raw_log is not null").select(F.explode(normalise.keyword_controls(F.lower("raw_log"))).alias("control_id"))
+    rows = table(spark, folder, "analyze_request", spread=True).where("raw_log is not null").select(exploded(normalise.keyword_controls(F.lower("raw_log"))).alias("control_id")).where("control_id is not null")
     return rows.groupBy("control_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -56,7 +57,7 @@ def signal_matrix(spark, folder):
 
 
 def control_hits(spark, folder):
-    return _findings(spark, folder).select("event_seq", F.explode("rule_controls").alias("control_id"))
+    return _findings(spark, folder).select("event_seq", exploded(F.col("rule_controls")).alias("control_id")).where("control_id is not null")
 
 
 def ioc_join(spark, folder):
@@ -66,7 +67,7 @@ def ioc_join(spark, folder):
 
 def known_cve_hits(spark, folder):
     known = F.array(*map(F.lit, mapping.known_vulnerabilities()))
-    hits = _findings(spark, folder).select(F.explode(F.array_intersect(F.col("entities.cve_ids"), known)).alias("cve"))
+    hits = _findings(spark, folder).select(exploded(F.array_intersect(F.col("entities.cve_ids"), known)).alias("cve")).where("cve is not null")
     return hits.groupBy("cve").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,7 +121,7 @@ def verdict_shape(spark, folder):
 
 def verdict_cache(spark, folder):
     rows = _findings(spark, folder).select("event_seq", "ts", mapping.verdict_shape().alias("shape"))
-    return verdicts.cached(rows).select("event_seq", "leader_seq", "is_hit")
+    return verdicts.cached(checkpointed(rows)).select("event_seq", "leader_seq", "is_hit")
 
 
 def suggestion_merge(spark, folder):
@@ -149,7 +150,7 @@ def config_score(spark, folder):
 
 
 def _judged(spark, folder):
-    gold = table(spark, folder, "gold_set").select("id", F.col("raw"), F.coalesce("controls", F.array().cast("array<string>")).alias("truth"))
+    gold = table(spark, folder, "gold_set", spread=True).select("id", F.col("raw"), F.coalesce("controls", F.array().cast("array<string>")).alias("truth"))
     m = F.col("mapping")
     return mapping.resolve(normalise.normalise(gold, use_intel=False)).select("id", "truth", m["control_ids"].alias("pred"), m["provenance"].alias("provenance"), m["needs_llm"].alias("needs_llm"))
 
@@ -181,7 +182,7 @@ def _replayed(spark, folder):
     f = _findings(spark, folder)
     s = normalise.severity_score()
     rows = f.select("event_seq", "label", scoring.correlation_ids(F.col("raw")).alias("corr"), (s["severity"].isin("critical", "high") | normalise.is_anomaly()).alias("alerted"))
-    return scoring.linked(rows)
+    return scoring.linked(checkpointed(rows))
 
 
 def replay_confusion(spark, folder):

@@ -7,11 +7,23 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Lazily reads ``<folder>/<name>.parquet``; instants are taken and shown in UTC."""
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """Lazily reads ``<folder>/<name>.parquet``; instants are taken and shown in UTC.
+
+    ``spread``: for work that costs much per row, see ``spread``.
+    """
     if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread_out(df) if spread else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deals a scan's rows to all cores where it has fewer splits than those, as with one file
+    of one row group. A scan with enough splits is left alone, so large inputs see no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
