@@ -10,7 +10,7 @@ from siftwarden.sources.tables import table
 
 
 def _pii_sources(spark: SparkSession, folder: str) -> list[tuple]:
-    return [(table(spark, folder, "analyze_request"), "analyze_request", "request_id", "raw_log"), (table(spark, folder, "agent_results"), "agent_results", "result_id", "prompt")]
+    return [(table(spark, folder, "analyze_request", spread=True), "analyze_request", "request_id", "raw_log"), (table(spark, folder, "agent_results", spread=True), "agent_results", "result_id", "prompt")]
 
 
 def _roster(spark: SparkSession, folder: str) -> tuple:
@@ -32,7 +32,7 @@ def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective prompt and answer pairs."""
-    return pairs.broken_pairs(table(spark, folder, "agent_results"))
+    return pairs.broken_pairs(table(spark, folder, "agent_results", spread=True))
 
 
 def _latencies(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p7_merged(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
-    return tokens.encode_documents(table(spark, folder, "documents"))
+    return tokens.encode_documents(table(spark, folder, "documents", spread=True))
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,18 +68,18 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of which at least a quarter is repeated: the flagged ones, checked exactly."""
-    flagged = repetition.flagged(table(spark, folder, "documents"))
+    flagged = repetition.flagged(table(spark, folder, "documents", spread=True))
     return flagged.where("4 * n_repeated >= n_words").select("doc_id").distinct()
 
 
 def p10_flagged(spark: SparkSession, folder: str) -> DataFrame:
     """Documents over the threshold of their language and source."""
-    return repetition.flagged(table(spark, folder, "documents"))
+    return repetition.flagged(table(spark, folder, "documents", spread=True))
 
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of repeated content of each document."""
-    return repetition.shares(table(spark, folder, "documents")).select("doc_id", "n_words", "n_repeated", "share")
+    return repetition.shares(table(spark, folder, "documents", spread=True)).select("doc_id", "n_words", "n_repeated", "share")
 
 
 QUERIES = {
