@@ -149,7 +149,7 @@ _ISO_HEAD = r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:\s?(?:Z|[+-]\d\d:
 _WORD = "|".join(sorted(LEVELS, key=len, reverse=True))
 LAYOUTS = [
     Layout("priority, version, time, host, program", lambda t: t[0] == "<PRI><N>" and len(t) > 4,
-           r"<(\d{1,3})>\d{1,2} (\S+) \S+ (\S+) \S+ \S+ (?:-|\[(?:[^\]\\]|\\.)*\](?:\[(?:[^\]\\]|\\.)*\])*)(?: (?P<msg>.*))?$", _syslog5424),
+           r"<(\d{1,3})>\d{1,2} (\S+) \S+ (\S+) \S+ \S+ (?:-|(?:\[(?:[^\]\\\"]|\"(?:[^\"\\]|\\.)*\"|\\.)*\])+)(?: (?P<msg>.*))?$", _syslog5424),
     Layout("month, day, clock, host, program", lambda t: t[0] in ("<MON>", "<PRI><MON>"),
            r"(?:<(\d{1,3})>)?" + _MON + r" {1,2}(\d{1,2}) " + _CLOCK + r" \S+ ([^\s:\[]+)(?:\[\d*\])?: ?(?P<msg>.*)$", _syslog3164,
            r"()" + _MON + r" {1,2}(\d{1,2}) " + _CLOCK + "()"),

@@ -75,13 +75,17 @@ def resolve(findings: DataFrame, grounded: Column | None = None) -> DataFrame:
 def with_suggestion(findings: DataFrame, suggested: Column) -> DataFrame:
     """Folds a scorer's suggestion into mappings that need one: validated, expanded by the same
     crosswalk, with low confidence and marked for review. Others stay as they are."""
-    m = F.col("mapping")
-    ids = valid(F.coalesce(suggested, F.array().cast("array<string>")), list(frameworks.CONTROLS))
-    none = F.array().cast("array<string>")
-    new = m.withField("control_ids", ids).withField("nist_subcategories", nist_of(ids)).withField("hipaa_sections", hipaa_of(ids))
-    new = new.withField("primary_tier", F.when(suggested.isNotNull(), MODEL)).withField("tiers_used", F.when(suggested.isNull(), none).when(F.size(ids) > 0, F.array(F.lit(MODEL), F.lit(CROSSWALK))).otherwise(F.array(F.lit(MODEL))))
-    new = new.withField("confidence", F.when(suggested.isNotNull(), 0.4).otherwise(0.0)).withField("authoritative", F.lit(False))
-    return findings.withColumn("needs_review", m["needs_llm"]).withColumn("mapping", F.when(m["needs_llm"], new).otherwise(m))
+    m, none = F.col("mapping"), F.array().cast("array<string>")
+    ids = valid(F.coalesce(suggested, none), list(frameworks.CONTROLS))
+    tiers = F.when(suggested.isNull(), none).when(F.size(ids) > 0, F.array(F.lit(MODEL), F.lit(CROSSWALK))).otherwise(F.array(F.lit(MODEL)))
+    new = {
+        "control_ids": ids, "nist_subcategories": nist_of(ids), "hipaa_sections": hipaa_of(ids), "primary_tier": F.when(suggested.isNotNull(), MODEL), "tiers_used": tiers,
+        "provenance": F.map_from_entries(F.transform(ids, lambda c: F.struct(c, F.array(F.lit(MODEL))))), "confidence": F.when(suggested.isNotNull(), 0.4).otherwise(0.0), "authoritative": F.lit(False),
+    }
+    kept = ["control_ids", "nist_subcategories", "hipaa_sections", "primary_tier", "tiers_used", "provenance", "confidence", "needs_llm", "authoritative", "benign"]
+    open_ = F.coalesce(m["needs_llm"], F.lit(False))
+    folded = F.struct(*((F.when(open_, new[k]).otherwise(m[k]) if k in new else m[k]).alias(k) for k in kept))
+    return findings.withColumn("needs_review", open_).withColumn("mapping", folded)
 
 
 def known_vulnerabilities() -> list[str]:

@@ -151,7 +151,8 @@ def clamped_severity(word: Column) -> Column:
 
 
 def clamped_score(value: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), value.try_cast("double").cast("int"))), F.lit(0))
+    number = F.coalesce(value.try_cast("double").cast("int"), F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), number))
 
 
 def at_least(severity: Column, threshold: str) -> Column:

@@ -19,8 +19,8 @@ ITEM_SCHEMA = "scf_row bigint, field_name string, pos bigint, item string"
 FRAMEWORK_COLUMNS = ("nist_csf_v2_0", "cis_csc_v8_1", "hipaa", "iso_27001_v2022")
 
 # Cells that mean "no value".
-PLACEHOLDERS = {"n/a", "na", "n.a.", "none", "null", "nil", "nan", "-", "--", "---", "–", "—", "?", "tbd", "tbc", "not applicable", "not mapped", "no mapping", "unmapped", "unknown", "x", ".", "#n/a", "empty", "(none)", "[]", "{}", '""'}
-_SPACE = " \t\r\n\f\v\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
+PLACEHOLDERS = {"n/a", "na", "n.a.", "none", "null", "nil", "nan", "-", "--", "---", "–", "—", "?", "tbd", "tbc", "not applicable", "not mapped", "no mapping", "unmapped", "unknown", ".", "#n/a", "empty", "(none)", "[]", "{}", '""'}
+_SPACE = " \t\r\n\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
 _SPECIAL = re.compile(r'["\\()\[\]{}]|[;,|\t\r\n\v\f\u2028\u2029]|(?<=[\s\xa0])/(?=[\s\xa0]|$)|^/(?=[\s\xa0])')
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _BULLET = re.compile(r"^(?:[•‣▪●◦·∙○■□►▸*\-–—+](?=[\s\xa0\"])|\(?\d{1,2}[.)](?=[\s\xa0])|[a-z]\)(?=[\s\xa0]))[\s\xa0]*")
