@@ -68,6 +68,17 @@ def read_json(raw: str | None) -> tuple[dict, str | None]:
     return {}, "no_json" if bare else "empty_response"
 
 
+REPAIRED_SCHEMA = "result_id bigint, value string, error string"
+
+
+def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, raw) batches into REPAIRED_SCHEMA."""
+    for batch in batches:
+        read = [read_json(x) for x in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array([json.dumps(v, sort_keys=True) if e is None else None for v, e in read], pa.string()), pa.array([e for _, e in read], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["result_id", "value", "error"])
+
+
 # -- prompts --------------------------------------------------------------------------------
 
 TASKS = {

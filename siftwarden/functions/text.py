@@ -11,7 +11,7 @@ from functools import lru_cache, reduce
 from re import _parser as parser
 from re._constants import LITERAL
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CLASS = re.compile(r"\\[dDsSwW]")
@@ -92,6 +92,16 @@ def exploded(array: Column) -> Column:
     return F.explode_outer(array)
 
 
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """A frame whose columns are computed here and nowhere else.
+
+    Filters on costly columns are else pushed below the projection that computes them, which
+    copies the whole expression into the filter. A generator over a one-element array is a
+    fence for that in the optimizer; it moves no data.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("_row")).select("_row.*")
+
+
 def literal_map(table: dict[str, list[str]]) -> Column:
     """A map literal; for small fixed tables it saves a join."""
     return F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))

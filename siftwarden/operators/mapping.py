@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwarden.functions.text import any_of, literal_map
+from siftwarden.functions.text import any_of, evaluated_once, literal_map
 from siftwarden.operators.normalise import first_rule
 from siftwarden.packs import frameworks, rules
 
@@ -69,7 +69,7 @@ def resolve(findings: DataFrame, grounded: Column | None = None) -> DataFrame:
         F.when(by_rule & by_near, 0.95).when(by_rule, 0.90).when(by_near, 0.70).otherwise(0.0).alias("confidence"),
         (~some & risky).alias("needs_llm"), (some | ~risky).alias("authoritative"), (~some & ~risky).alias("benign"),
     )
-    return out.withColumn("mapping", mapping).drop("_r", "_e", "_c")
+    return evaluated_once(out.withColumn("mapping", mapping).drop("_r", "_e", "_c"))
 
 
 def with_suggestion(findings: DataFrame, suggested: Column) -> DataFrame:

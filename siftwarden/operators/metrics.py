@@ -64,3 +64,13 @@ def exposition(values: DataFrame) -> DataFrame:
     """Text lines of counters in the usual exposition format."""
     body = F.when(F.col("labels") == "", F.col("name")).otherwise(F.concat("name", F.lit("{"), "labels", F.lit("}")))
     return values.select(F.concat(body, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def level_stats(calls: DataFrame, level: str, latency: str = "latency_ms", ok: str = "ok", tokens: str = "completion_tokens") -> DataFrame:
+    """Per level: calls, errors, error rate, tokens, mean and greatest latency."""
+    failed = F.count_if(~F.coalesce(F.col(ok), F.lit(False)))
+    n = F.count(F.lit(1))
+    return calls.groupBy(level).agg(
+        n.alias("completed"), failed.alias("errors"), F.bround(failed / n, 3).alias("error_rate"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"),
+        F.bround(F.coalesce(F.sum(tokens), F.lit(0)) / n, 1).alias("avg_tokens"), F.max(F.when(F.col(latency) >= 0, F.col(latency))).alias("max_ms"),
+    )

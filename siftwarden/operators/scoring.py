@@ -93,3 +93,21 @@ def outcomes(events: DataFrame, truth: str = "label") -> DataFrame:
         F.count_if(odd & seen).alias("sus_alert"), F.count_if(bad & F.col("alerted")).alias("tp_single"), F.count_if(bad & F.col("via_corr")).alias("via_corr"),
     )
     return out.withColumns({"precision": F.bround(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 2), "recall": F.bround(ratio(F.col("tp"), F.col("malicious")), 2), "recall_single": F.bround(ratio(F.col("tp_single"), F.col("malicious")), 2)})
+
+
+def macro(rows: DataFrame) -> DataFrame:
+    """Mean of the rows' F1 and the share of rows with at least one right id, over rows with
+    counts from ``set_counts``."""
+    p, r = ratio(F.col("n_tp"), F.col("n_tp") + F.col("n_fp")), ratio(F.col("n_tp"), F.col("n_tp") + F.col("n_fn"))
+    f1 = ratio(2 * p * r, p + r)
+    return rows.agg(F.round(F.avg(f1), 6).alias("macro_f1"), F.count_if(F.col("n_tp") > 0).alias("covered"), F.count(F.lit(1)).alias("n"))
+
+
+def routing(events: DataFrame, engine: str = "decided_by") -> DataFrame:
+    """Events per deciding tier with their share in percent, and whether it is deterministic.
+
+    The total is joined as one row instead of a window over all rows.
+    """
+    per = events.groupBy(engine).agg(F.count(F.lit(1)).alias("n"))
+    total = per.agg(F.sum("n").alias("_t"))
+    return per.join(F.broadcast(total)).select(engine, "n", F.round(100 * F.col("n") / F.col("_t"), 1).alias("pct"), (F.col(engine) != "llm").alias("deterministic"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwarden import agents
 from siftwarden.functions.text import exploded
 from siftwarden.operators import catalog, graphs, mapping, metrics, normalise, policy, redaction, scoring, vectors, verdicts
 from siftwarden.packs import frameworks, rules
@@ -178,6 +179,64 @@ def eval_worst(spark, folder):
     return counted.orderBy(F.desc("n_fp"), "id").limit(6).where("n_fp > 0").select("id", "n_fp", "n_fn")
 
 
+def eval_macro(spark, folder):
+    return scoring.macro(scoring.set_counts(_judged(spark, folder)))
+
+
+def routing_summary(spark, folder):
+    return scoring.routing(_resolved(spark, folder).select(mapping.decision()["decided_by"].alias("decided_by")))
+
+
+def call_stats(spark, folder):
+    return metrics.level_stats(table(spark, folder, "agent_results").dropDuplicates(["result_id"]), "agent")
+
+
+def queue_depth(spark, folder):
+    rows = raw_logs(spark, folder).where("event_seq % 10 < 3").select(normalise.lane(F.lower("raw")).alias("lane"))
+    return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("pending"))
+
+
+def narrative_gate(spark, folder):
+    """Findings for which a report would be written from severity high on."""
+    s = normalise.severity_score()["severity"]
+    rows = _findings(spark, folder).select(s.alias("severity"), normalise.at_least(s, "high").alias("report"))
+    return rows.groupBy("severity", "report").agg(F.count(F.lit(1)).alias("n"))
+
+
+def json_repair(spark, folder):
+    """Model answers read as JSON, as they are or repaired."""
+    rows = table(spark, folder, "agent_results", spread=True).where("prompt is not null and raw is not null").select("result_id", "raw")
+    return rows.mapInArrow(agents.repaired, agents.REPAIRED_SCHEMA)
+
+
+def agent_outputs(spark, folder):
+    """Deterministic and offline agents over the findings that reach them."""
+    found = _resolved(spark, folder)
+    runs = [agents.run_agent(found, a, "event_seq") for a in ("risk_scorer", "anomaly_detector", "compliance_mapper")]
+    out = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    return out.groupBy("agent", "source", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered_prompts(spark, folder):
+    return agents.numbered_batches(raw_logs(spark, folder), "event_seq", "raw")
+
+
+def graph_hashes(spark, folder):
+    return graphs.checked_hash(table(spark, folder, "sample_bundle").where("manifest is not null"))
+
+
+def bundle_sample(spark, folder):
+    return graphs.sample(table(spark, folder, "sample_bundle"))
+
+
+def frameworks_present(spark, folder):
+    return catalog.frameworks_present(catalog.crosswalk(table(spark, folder, "scf_sample")))
+
+
+def timeline_recent(spark, folder):
+    return metrics.last_n(_findings(spark, folder).select("event_seq", "log_type"), 10_000, ["event_seq"])
+
+
 def _replayed(spark, folder):
     f = _findings(spark, folder)
     s = normalise.severity_score()
@@ -276,7 +335,7 @@ _NAMES = """lane_counts lane_drain_order request_lane_counts request_controls lo
  detection_alerts detection_alert_counts first_rule severity_distribution top_factors crosswalk_nist crosswalk_hipaa mapping_resolve decision_tier verdict_shape
  verdict_cache suggestion_merge scan_match config_checks config_posture config_score eval_micro eval_per_control eval_per_tier eval_benign eval_worst replay_confusion
  replay_outcomes event_id_extract vector_topk vector_floor graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
- recent_n ring_buffer alert_counters redaction_counts redaction_round_trip""".split()
+ recent_n ring_buffer eval_macro routing_summary call_stats queue_depth narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # -- SQL ------------------------------------------------------------------------------------
@@ -489,6 +548,16 @@ ORACLES = {
     "latency_percentiles": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events WHERE value IS NOT NULL), g AS (SELECT event_type, list_sort(list(value)) AS v FROM r WHERE k <= 5000 GROUP BY 1) SELECT event_type, len(v) AS n, "
     + ", ".join(f"round({_nearest(p)}, 1) AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99)) + ", round(list_max(v), 1) AS max, round(list_sum(v) / len(v), 1) AS avg FROM g",
     "saturation_point": "WITH h AS (SELECT CAST(hour(ts) AS INT) AS level, count(*)::DOUBLE AS rate FROM events GROUP BY 1), b AS (SELECT *, max(rate) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM h) SELECT (SELECT min(level) FROM b WHERE best > 0 AND rate < best * 1.10) AS saturation_level, level AS best_level, rate AS best_rate FROM h ORDER BY rate DESC, level LIMIT 1",
+    "eval_macro": _JUDGE + ", p AS (SELECT tp, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c) SELECT round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0.0)), 6) AS macro_f1, count_if(tp > 0) AS covered, count(*) AS n FROM p",
+    "routing_summary": _F + f"x AS (SELECT CASE WHEN len({_CVE}) > 0 THEN 'scan_engine' WHEN {_FIRST} <> '' THEN 'siem_rule' WHEN len(rule_controls) > 0 THEN 'compliance_rule' WHEN {_RISKY} THEN 'llm' ELSE 'deterministic' END AS decided_by FROM f) SELECT decided_by, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS pct, decided_by <> 'llm' AS deterministic FROM x GROUP BY 1",
+    "call_stats": "WITH d AS (SELECT DISTINCT result_id, agent, ok, completion_tokens, latency_ms FROM agent_results) SELECT agent, count(*) AS completed, count_if(NOT coalesce(ok, false)) AS errors, round_even(count_if(NOT coalesce(ok, false)) / count(*), 3) AS error_rate, coalesce(sum(completion_tokens), 0)::BIGINT AS tokens, round_even(coalesce(sum(completion_tokens), 0) / count(*), 1) AS avg_tokens, max(CASE WHEN latency_ms >= 0 THEN latency_ms END) AS max_ms FROM d GROUP BY 1",
+    "queue_depth": f"SELECT {_lane_sql('raw')} AS lane, count(*) AS pending FROM ({_TYPED}) WHERE event_seq % 10 < 3 GROUP BY 1",
+    "narrative_gate": _F + f"x AS (SELECT {_SEVERITY} AS severity FROM f) SELECT severity, severity IN ('critical', 'high') AS report, count(*) AS n FROM x GROUP BY ALL",
+    "bundle_sample": "SELECT DISTINCT bundle_id, pos - 1 AS pos, n.id AS id FROM (SELECT manifest.bundle_id AS bundle_id, unnest(graph.nodes) AS n, generate_subscripts(graph.nodes, 1) AS pos FROM sample_bundle) WHERE pos <= 10",
+    "frameworks_present": _SCF + " SELECT DISTINCT framework FROM w",
+    "timeline_recent": _F + _FT + " SELECT event_seq, log_type FROM t ORDER BY event_seq DESC LIMIT 10000",
+    "numbered_prompts": f"SELECT event_seq // 6 AS batch, string_agg('[' || (event_seq % 6 + 1) || '] ' || substr(raw, 1, 1500), chr(10) ORDER BY event_seq) AS prompt FROM ({_TYPED}) GROUP BY 1",
+    "agent_outputs": _F + f"x AS (SELECT count(*) AS n, count_if(len(rule_controls) = 0 AND {_RISKY}) AS k FROM f) SELECT 'risk_scorer' AS agent, 'deterministic' AS source, true AS ok, n FROM x UNION ALL SELECT 'anomaly_detector', 'deterministic', true, n FROM x UNION ALL SELECT 'compliance_mapper', 'mock', true, k FROM x",
     "recent_n": "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 200",
     "ring_buffer": "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 500",
     "alert_counters": _F + _ALERTS + """ SELECT 'detections_total{rule="' || rule || '"} ' || count(*) AS line FROM a GROUP BY rule""",
