@@ -40,7 +40,7 @@ def _load(text: str) -> object:
         if bare[:1] not in ("{", "[", '"'):
             return value if value is not text else _UNREADABLE
         try:
-            value = json.loads(bare, parse_constant=_reject)
+            value = _DECODER.decode(bare)
         except (ValueError, RecursionError):
             return value if value is not text else _UNREADABLE
     return value
@@ -50,6 +50,9 @@ def _reject(word: str) -> object:
     raise ValueError(word)
 
 
+_DECODER = json.JSONDecoder(parse_constant=_reject)
+
+
 def _open(value: object) -> object:
     """A value with JSON inside a string replaced by what it holds."""
     if isinstance(value, str) and value.lstrip(" \t\r\n")[:1] in ("{", "[", '"'):
@@ -75,9 +78,11 @@ def _scalar(value: object) -> str | None:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def triples_of(record_id: str | None, column: str, document: str | None, lists: frozenset[str]) -> list[tuple]:
+def triples_of(record_id: str | None, column: str, document: str | None, lists: frozenset[str], fields: frozenset[str] | None = None) -> list[tuple]:
     """Triples of one document: (record, table, row path, parent path, ordinal, field, value).
 
+    ``fields``: names of the values that are wanted (None: all of them).
+
     Every object opens with a triple without a field. The document itself is a row of the
     table named by its column with ordinal 0, unless the column is itself a list.
     """
@@ -107,37 +112,50 @@ def triples_of(record_id: str | None, column: str, document: str | None, lists:
                 stack.append(("list", inner, below, f"{path}.{field}", path, 0, None))
             elif isinstance(inner, dict) and inner:
                 stack.append(("fields", inner, table, path, parent, ordinal, f"{field}."))
-            else:
+            elif fields is None or field in fields:
                 out.append((record_id, table, path, parent, ordinal, field, _scalar(held)))
     return out
 
 
-def _stream(lists: frozenset[str], columns: tuple[str, ...]):
+#: Triples of an output batch; it bounds a task's memory.
+_BATCH = 20_000
+
+
+def _stream(lists: frozenset[str], columns: tuple[str, ...], fields: frozenset[str] | None):
     names = ["record_id", "table_path", "row_path", "parent_path", "ordinal", "field", "value"]
     types = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 2
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        held = list(zip(*rows, strict=True)) if rows else [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for k, column in enumerate(columns, 1):
-                rows: list[tuple] = []
-                for record, document in zip(ids, batch.column(k).to_pylist(), strict=True):
-                    rows.extend(triples_of(record, column, document, lists))
-                held = list(zip(*rows, strict=True)) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types, strict=True)], names)
+                for record, document in zip(ids, batch.column(k), strict=True):
+                    rows += triples_of(record, column, document.as_py(), lists, fields)
+                    if len(rows) > _BATCH:
+                        yield batch_of(rows)
+                        rows = []
+        yield batch_of(rows)
 
     return run
 
 
-def triples(records: DataFrame, key: str = "finding_id", columns: tuple[str, ...] = FINDING_COLUMNS, lists: tuple[str, ...] = tuple(FINDING_LISTS)) -> DataFrame:
+def triples(records: DataFrame, key: str = "finding_id", columns: tuple[str, ...] = FINDING_COLUMNS, lists: tuple[str, ...] = tuple(FINDING_LISTS), fields: tuple[str, ...] | None = None) -> DataFrame:
     """Path-value-ordinal triples of JSON columns (TRIPLE_SCHEMA).
 
+    ``fields``: only values of these names are given out, so that a flat table of a few fields,
+    or of none, does not carry all others out of the parser; objects always are.
+
     ``lists``: paths, from the column's name on, at which a list of objects is expected. Null
     and incomplete documents give no triple; null keys are kept; other columns are ignored.
     A record delivered again gives its triples again.
     """
     picked = records.select(F.col(key).cast("string").alias("record_id"), *(F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)))
-    return picked.mapInArrow(_stream(frozenset(lists), tuple(columns)), TRIPLE_SCHEMA)
+    return picked.mapInArrow(_stream(frozenset(lists), tuple(columns), None if fields is None else frozenset(fields)), TRIPLE_SCHEMA)
 
 
 def objects(found: DataFrame, tables: tuple[str, ...] = tuple(FINDING_LISTS)) -> DataFrame:

@@ -30,18 +30,23 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_entries(spark, folder).select("table_name", "row_key", "first_line", "last_line", "entry_ts", "entry_level", "component").distinct()
 
 
+def _triples(spark: SparkSession, folder: str, fields: tuple[str, ...], columns: tuple[str, ...] = nested.FINDING_COLUMNS) -> DataFrame:
+    return nested.triples(table(spark, folder, "mvp_findings", spread=True), columns=columns, fields=fields)
+
+
 def p3_triples(spark: SparkSession, folder: str) -> DataFrame:
+    """All path-value-ordinal triples."""
     return nested.triples(table(spark, folder, "mvp_findings", spread=True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Objects in the lists of findings, by path."""
-    return nested.objects(p3_triples(spark, folder)).select(F.col("record_id").alias("finding_id"), F.col("row_path").alias("path"))
+    return nested.objects(_triples(spark, folder, ())).select(F.col("record_id").alias("finding_id"), F.col("row_path").alias("path"))
 
 
 def _flat(table_path: str, fields: list[str]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return nested.pivoted(p3_triples(spark, folder), table_path, fields)
+        return nested.pivoted(_triples(spark, folder, tuple(fields), (table_path.split(".")[0],)), table_path, fields)
 
     query.__doc__ = f"Flat table of {table_path}, with its parent and position."
     return query
@@ -64,7 +69,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return packed.packed_items(table(spark, folder, "scf_sample", spread=True))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_entries": p2_entries, "p3_found": p3_found, **FLAT_TABLES, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_entries": p2_entries, "p3_found": p3_found, "p3_triples": p3_triples, **FLAT_TABLES, "p5_found": p5_found}
 
 _P1_SQL = r"""
 WITH f AS (
