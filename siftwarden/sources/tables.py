@@ -6,12 +6,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwarden.shipping import ship
+
 
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """Lazily reads ``<folder>/<name>.parquet``; instants are taken and shown in UTC.
 
     ``spread``: for work that costs much per row, see ``spread``.
     """
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
