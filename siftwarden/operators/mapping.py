@@ -72,6 +72,19 @@ def resolve(findings: DataFrame, grounded: Column | None = None) -> DataFrame:
     return evaluated_once(out.withColumn("mapping", mapping).drop("_r", "_e", "_c"))
 
 
+def grounding(available: Column, retrieved: Column, candidates: Column) -> Column:
+    """(controls, reason) that ground a finding: strong retrieval, else valid candidates.
+
+    Where retrieval is available but nothing reached its floor, the candidates are still
+    credited to the embedding tier by callers that pass them to ``resolve``; that is how results
+    are expected to be, though it lends weak evidence weight.
+    """
+    strong = F.coalesce(available, F.lit(False)) & (F.size(F.coalesce(retrieved, F.array().cast("array<string>"))) > 0)
+    controls = F.when(strong, retrieved).otherwise(valid(candidates, list(frameworks.CONTROLS)))
+    reason = F.when(strong, "ok").when(F.coalesce(available, F.lit(False)), "weak").otherwise("static")
+    return F.struct(controls.alias("controls"), reason.alias("reason"))
+
+
 def with_suggestion(findings: DataFrame, suggested: Column) -> DataFrame:
     """Folds a scorer's suggestion into mappings that need one: validated, expanded by the same
     crosswalk, with low confidence and marked for review. Others stay as they are."""

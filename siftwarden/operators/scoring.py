@@ -111,3 +111,15 @@ def routing(events: DataFrame, engine: str = "decided_by") -> DataFrame:
     per = events.groupBy(engine).agg(F.count(F.lit(1)).alias("n"))
     total = per.agg(F.sum("n").alias("_t"))
     return per.join(F.broadcast(total)).select(engine, "n", F.round(100 * F.col("n") / F.col("_t"), 1).alias("pct"), (F.col(engine) != "llm").alias("deterministic"))
+
+
+def sampled_feed(events: DataFrame, most_benign: int, label: str = "label", order: str = "event_seq") -> DataFrame:
+    """All malicious and suspicious events and the first benign ones; unlabelled ones are left
+    out. The cut of benign events is a distributed top-n, not a sort of all of them."""
+    odd = events.where(F.col(label).isin("malicious", "benign_suspicious"))
+    return odd.unionByName(events.where(F.col(label) == "benign").orderBy(order).limit(most_benign))
+
+
+def labelled(events: DataFrame, labels: DataFrame, key: str = "event_id") -> DataFrame:
+    """Events with their labels by normalised id, ``unlabeled`` where there is none."""
+    return events.join(labels, key, "left").withColumn("label", F.coalesce("label", F.lit("unlabeled")))

@@ -179,6 +179,21 @@ def eval_worst(spark, folder):
     return counted.orderBy(F.desc("n_fp"), "id").limit(6).where("n_fp > 0").select("id", "n_fp", "n_fn")
 
 
+def feed_sample(spark, folder):
+    """Events of a replay: all that are not benign and the first 80 benign ones."""
+    return scoring.sampled_feed(raw_logs(spark, folder).select("event_seq", "label"), 80)
+
+
+def grounded_mapping(spark, folder):
+    """Mapping where every fifth event has retrieved controls, every third weak retrieval."""
+    found = _findings(spark, folder)
+    n = F.col("event_seq")
+    g = mapping.grounding(n % 3 != 1, F.when(n % 5 == 0, F.array(F.lit("Control 13"))), F.col("candidate_controls"))
+    rows = mapping.resolve(found.withColumn("g", g), F.when(n % 3 != 1, F.col("g.controls")).otherwise(F.array().cast("array<string>")))
+    m = F.col("mapping")
+    return rows.groupBy("g.reason", m["primary_tier"].alias("primary_tier"), m["confidence"].alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def eval_macro(spark, folder):
     return scoring.macro(scoring.set_counts(_judged(spark, folder)))
 
@@ -335,7 +350,7 @@ _NAMES = """lane_counts lane_drain_order request_lane_counts request_controls lo
  detection_alerts detection_alert_counts first_rule severity_distribution top_factors crosswalk_nist crosswalk_hipaa mapping_resolve decision_tier verdict_shape
  verdict_cache suggestion_merge scan_match config_checks config_posture config_score eval_micro eval_per_control eval_per_tier eval_benign eval_worst replay_confusion
  replay_outcomes event_id_extract vector_topk vector_floor graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
- recent_n ring_buffer eval_macro routing_summary call_stats queue_depth narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
+ recent_n ring_buffer feed_sample grounded_mapping eval_macro routing_summary call_stats queue_depth narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # -- SQL ------------------------------------------------------------------------------------
@@ -548,6 +563,8 @@ ORACLES = {
     "latency_percentiles": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events WHERE value IS NOT NULL), g AS (SELECT event_type, list_sort(list(value)) AS v FROM r WHERE k <= 5000 GROUP BY 1) SELECT event_type, len(v) AS n, "
     + ", ".join(f"round({_nearest(p)}, 1) AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99)) + ", round(list_max(v), 1) AS max, round(list_sum(v) / len(v), 1) AS avg FROM g",
     "saturation_point": "WITH h AS (SELECT CAST(hour(ts) AS INT) AS level, count(*)::DOUBLE AS rate FROM events GROUP BY 1), b AS (SELECT *, max(rate) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM h) SELECT (SELECT min(level) FROM b WHERE best > 0 AND rate < best * 1.10) AS saturation_level, level AS best_level, rate AS best_rate FROM h ORDER BY rate DESC, level LIMIT 1",
+    "feed_sample": f"WITH r AS (SELECT event_seq, label, row_number() OVER (PARTITION BY label ORDER BY event_seq) AS k FROM ({_TYPED})) SELECT event_seq, label FROM r WHERE label <> 'benign' OR k <= 80",
+    "grounded_mapping": _F + f"x AS (SELECT CASE WHEN event_seq % 3 = 1 THEN 'static' WHEN event_seq % 5 = 0 THEN 'ok' ELSE 'weak' END AS reason, len(rule_controls) > 0 AS r, event_seq % 3 <> 1 AS e, {_RISKY} AS k FROM f) SELECT reason, CASE WHEN r THEN 'rules' WHEN e THEN 'embedding' WHEN NOT k THEN 'benign' END AS primary_tier, CASE WHEN r AND e THEN 0.95::DOUBLE WHEN r THEN 0.9::DOUBLE WHEN e THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence, count(*) AS n FROM x GROUP BY ALL",
     "eval_macro": _JUDGE + ", p AS (SELECT tp, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c) SELECT round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0.0)), 6) AS macro_f1, count_if(tp > 0) AS covered, count(*) AS n FROM p",
     "routing_summary": _F + f"x AS (SELECT CASE WHEN len({_CVE}) > 0 THEN 'scan_engine' WHEN {_FIRST} <> '' THEN 'siem_rule' WHEN len(rule_controls) > 0 THEN 'compliance_rule' WHEN {_RISKY} THEN 'llm' ELSE 'deterministic' END AS decided_by FROM f) SELECT decided_by, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS pct, decided_by <> 'llm' AS deterministic FROM x GROUP BY 1",
     "call_stats": "WITH d AS (SELECT DISTINCT result_id, agent, ok, completion_tokens, latency_ms FROM agent_results) SELECT agent, count(*) AS completed, count_if(NOT coalesce(ok, false)) AS errors, round_even(count_if(NOT coalesce(ok, false)) / count(*), 3) AS error_rate, coalesce(sum(completion_tokens), 0)::BIGINT AS tokens, round_even(coalesce(sum(completion_tokens), 0) / count(*), 1) AS avg_tokens, max(CASE WHEN latency_ms >= 0 THEN latency_ms END) AS max_ms FROM d GROUP BY 1",
