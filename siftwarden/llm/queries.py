@@ -86,4 +86,15 @@ QUERIES = {
     "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p7_percentiles": p7_percentiles, "p7_merged": p7_merged,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_flagged": p10_flagged, "p10_shares": p10_shares,
 }
-ORACLES: dict[str, str] = {}
+_REPEATS = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT r, i, string_agg(word, ' ') OVER n AS run, count(*) OVER n AS k FROM p WINDOW n AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+d AS (SELECT r, i, row_number() OVER (PARTITION BY r, run ORDER BY i) AS seen FROM g WHERE k = 10),
+c AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, i + unnest(range(0, 10)) AS place FROM d WHERE seen > 1) GROUP BY r),
+s AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_repeated, CASE WHEN len(ws) > 0 THEN coalesce(n, 0) / len(ws) ELSE 0.0::DOUBLE END AS share FROM w LEFT JOIN c USING (r))
+"""
+ORACLES = {
+    "p10_shares": _REPEATS + "SELECT doc_id, n_words, n_repeated, share FROM s",
+    "p10_found": _REPEATS + "SELECT DISTINCT doc_id FROM s WHERE n_words > 0 AND 4 * n_repeated >= n_words",
+}

@@ -38,6 +38,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _words(text: str) -> list[str]:
+    """Lower-cased words. A capital whose lower case has a combining mark must not be cut there,
+    so such texts are divided first."""
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
 def repeated_words(texts: list[str | None], run: int = RUN) -> tuple[list[int], list[int]]:
     """(words, repeated words) of each text."""
     sizes: list[int] = []
@@ -52,7 +59,7 @@ def repeated_words(texts: list[str | None], run: int = RUN) -> tuple[list[int],
         words, pending, chars = [], [], 0
 
     for t in texts:
-        found = _WORD.findall(t.lower()) if t else []
+        found = _words(t) if t else []
         words += found
         pending.append(len(found))
         sizes.append(len(found))

@@ -9,7 +9,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, threshold doub
 
 
 def brute(text, run=10):
-    words = re.findall(r"[^\W_]+", (text or "").lower())
+    words = [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
     seen, covered = set(), set()
     for i in range(len(words) - run + 1):
         window = tuple(words[i : i + run])
@@ -28,6 +28,10 @@ def test_against_brute_force(texts):
     assert list(zip(sizes, hits, strict=True)) == [brute(t, 3) for t in texts]
 
 
+def test_capitals_with_a_mark_in_lower_case():
+    assert repetition.repeated_words(["İstanbul STRASSE"])[0] == [2]
+
+
 def test_long_text_and_neighbours():
     a = " ".join(str(i) for i in range(300_000))
     assert repetition.repeated_words([a, a, "x " * 40]) == ([300_000, 300_000, 40], [0, 0, 39])
