@@ -158,21 +158,56 @@ def triples(records: DataFrame, key: str = "finding_id", columns: tuple[str, ...
     return picked.mapInArrow(_stream(frozenset(lists), tuple(columns), None if fields is None else frozenset(fields)), TRIPLE_SCHEMA)
 
 
+def _names(lists: frozenset[str], columns: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+        for batch in batches:
+            for k, column in enumerate(columns):
+                for document in batch.column(k):
+                    seen.update((x[1], x[5]) for x in triples_of(None, column, document.as_py(), lists) if x[5] is not None)
+        held = list(zip(*sorted(seen), strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in held], ["table_path", "field"])
+
+    return run
+
+
+def field_names(records: DataFrame, columns: tuple[str, ...] = FINDING_COLUMNS, lists: tuple[str, ...] = tuple(FINDING_LISTS)) -> DataFrame:
+    """Names of the fields that occur in each table, once each: table_path, field. A task gives
+    out every name once, no value leaves the parser."""
+    picked = records.select(*(F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)))
+    return picked.mapInArrow(_names(frozenset(lists), tuple(columns)), "table_path string, field string").distinct()
+
+
 def objects(found: DataFrame, tables: tuple[str, ...] = tuple(FINDING_LISTS)) -> DataFrame:
     """The objects among triples, once each: record_id, table_path, row_path, parent_path, ordinal."""
     return found.where(F.col("field").isNull() & F.col("table_path").isin(*tables)).select("record_id", "table_path", "row_path", "parent_path", "ordinal").distinct()
 
 
+def column_names(fields: list[str], keys: list[str]) -> list[str]:
+    """Names of the columns of fields: dots become underscores, clashes with the key columns get
+    the prefix ``f_``, and names that are then equal without case get a number."""
+    out: list[str] = []
+    taken = {k.lower() for k in keys}
+    for f in fields:
+        name = f"f_{f}" if f in keys or not f else f.replace(".", "_")
+        base, n = name, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def pivoted(found: DataFrame, table_path: str, fields: list[str]) -> DataFrame:
     """One flat table from triples: record_id, row_path, parent_path, ordinal and ``fields``.
 
-    ``fields`` are named (not discovered), so one pass makes the table. A field that an object
-    lacks is null. Copies of a record collapse; where they differ, the greatest value is kept.
-    Names of fields that clash with the four key columns get the prefix ``f_``.
+    ``fields`` are named (see ``field_names`` for those that occur), so one pass makes the table.
+    A field that an object lacks is null. Copies of a record collapse; where they differ, the
+    greatest value is kept. Columns are named by ``column_names``.
     """
     keys = ["record_id", "row_path", "parent_path", "ordinal"]
-
-    def column(f: str) -> Column:
-        return F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"f_{f}" if f in keys else f.replace(".", "_"))
-
-    return found.where(F.col("table_path") == table_path).groupBy(*keys).agg(*(column(f) for f in fields))
+    named = zip(fields, column_names(fields, keys), strict=True)
+    columns = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(c) for f, c in named]
+    kept = found.where(F.col("table_path") == table_path).groupBy(*keys)
+    return kept.agg(*columns) if columns else kept.count().drop("count")

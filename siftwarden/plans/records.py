@@ -46,20 +46,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _flat(table_path: str, fields: list[str]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return nested.pivoted(_triples(spark, folder, tuple(fields), (table_path.split(".")[0],)), table_path, fields)
+        records, column = table(spark, folder, "mvp_findings", spread=True), table_path.split(".")[0]
+        # Names only, a few per table; those that are listed come first and always.
+        found = nested.field_names(records, (column,)).where(F.col("table_path") == table_path)
+        every = [*fields, *sorted({r.field for r in found.collect()} - set(fields))]
+        return nested.pivoted(nested.triples(records, columns=(column,), fields=tuple(every)), table_path, every)
 
-    query.__doc__ = f"Flat table of {table_path}, with its parent and position."
+    query.__doc__ = f"Flat table of {table_path} with all its fields, its parent and position."
     return query
 
 
+_SIGNALS = "failed_logins successful_logins privilege_escalation malware c2_or_exfil lateral_movement account_creation foreign_geo".split()
+_OUTPUT = "severity is_anomaly risk_score confidence rationale control_ids nist_subcategories priority executive_summary attack_narrative top_factors anomaly_type explanation".split()
+
+#: The fields that are listed are columns on every input; others that occur are added after them.
+#: The parent of an agent is its record, that of a hit, piece of evidence or token the root's row.
 FLAT_TABLES = {
-    "p3_hits": _flat("finding.intel.ioc_hits", ["type", "value", "feed.name"]),
+    "p3_findings": _flat("finding", ["log_type", "summary", "rule_controls", "candidate_controls", "intel", "entities.usernames", "entities.source_ip", "entities.cve_ids", "entities.domains", *(f"signals.{s}" for s in _SIGNALS)]),
+    "p3_hits": _flat("finding.intel.ioc_hits", ["type", "value", "feed.name", "feed.tags"]),
     "p3_sightings": _flat("finding.intel.ioc_hits.sightings", ["ts", "sensor"]),
-    "p3_agents": _flat("agents", ["agent", "ok", "latency_ms", "source", "error"]),
+    "p3_agents": _flat("agents", ["agent", "ok", "latency_ms", "source", "error", "output", *(f"output.{f}" for f in _OUTPUT)]),
     "p3_steps": _flat("agents.output.steps", ["order", "action", "control_ref"]),
     "p3_substeps": _flat("agents.output.steps.substeps", ["n", "do"]),
+    "p3_verdicts": _flat("verdict", ["severity", "risk_score", "confidence", "is_anomaly", "summary", "control_ids", "decision.by", "decision.engine.name", "decision.engine.deterministic"]),
     "p3_evidence": _flat("verdict.evidence", ["control_id", "tier"]),
     "p3_evidence_nist": _flat("verdict.evidence.nist", ["id", "via"]),
+    "p3_dal": _flat("dal", ["redacted_count", "by_kind"]),
     "p3_tokens": _flat("dal.tokens", ["kind", "n"]),
 }
 

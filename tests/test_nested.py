@@ -44,3 +44,25 @@ def test_pivot_keeps_parent_and_position(spark):
     seen = nested.pivoted(t, "finding.intel.ioc_hits.sightings", ["ts"]).where("record_id is null").collect()
     assert [(r.parent_path, r.ts) for r in seen] == [("finding.intel.ioc_hits[0]", "t")]
     assert nested.objects(nested.triples(df.limit(0))).count() == 0
+
+
+def test_flat_tables_have_roots_and_every_field(spark, tmp_path):
+    from siftwarden.plans.records import FLAT_TABLES
+
+    finding = {"log_type": "web", "signals": {"malware": True}, "new": {"deep": 1}, "intel": {"ioc_hits": [{"value": "v", "Value": "w", "value_2": "x", "first.seen": "d"}]}}
+    agents = [{"agent": "a", "output": {"severity": "high", "control_ids": ["C1"], "odd": None, "steps": [{"order": 1, "owner": "o"}]}}, {"ordinal": 7}]
+    verdict = {"severity": "low", "decision": {"by": "r"}, "evidence": [{"control_id": "C"}]}
+    dal = {"redacted_count": 2, "by_kind": {"IP": 1}, "tokens": [{"kind": "IP"}]}
+    row = ("F", *map(json.dumps, (finding, agents, verdict, dal)), 1)
+    spark.createDataFrame([row, row], SCHEMA).write.parquet(f"{tmp_path}/mvp_findings.parquet")
+    got = {n: [r.asDict() for r in FLAT_TABLES[n](spark, str(tmp_path)).orderBy("row_path").collect()] for n in FLAT_TABLES}
+    f, v, d = (got[n][0] for n in ("p3_findings", "p3_verdicts", "p3_dal"))
+    assert (f["row_path"], f["log_type"], f["signals_malware"], f["new_deep"], f["summary"]) == ("finding", "web", "true", "1", None)
+    assert (v["row_path"], v["severity"], v["decision_by"], v["decision_engine_name"]) == ("verdict", "low", "r", None)
+    assert (d["row_path"], d["redacted_count"], d["by_kind_IP"]) == ("dal", "2", "1")
+    a, b = got["p3_agents"]
+    assert (a["output_severity"], a["output_control_ids"], a["output_odd"], b["f_ordinal"], b["agent"]) == ("high", '["C1"]', None, "7", None)
+    assert got["p3_steps"][0]["owner"] == "o"
+    assert sorted(str(x) for k, x in got["p3_hits"][0].items() if k not in ("record_id", "row_path", "parent_path", "ordinal")) == ["None", "None", "None", "d", "v", "w", "x"]
+    roots = {r["row_path"] for n in ("p3_findings", "p3_verdicts", "p3_dal") for r in got[n]}
+    assert {r["parent_path"] for n in ("p3_hits", "p3_evidence", "p3_tokens") for r in got[n]} <= roots
