@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -116,6 +117,24 @@ def test_redaction_round_trip(spark, text):
     assert "@" not in r[0].redacted and "555-0100" not in r[0].redacted
 
 
+def test_redaction_counts_every_kind(spark, tmp_path):
+    from siftwarden.plans.security import redaction_counts
+
+    texts = ["a@b.com a@b.com c@d.org at x.corp", "aa:bb:cc:dd:ee:ff fe80::1 10.0.0.1 10.0.0.2 y.corp", "sk-abcdefgh12 AKIAABCDEFGHIJKL z.local", "", None, "x.corp"]
+    want = {"EMAIL": 2, "HOST": 4, "MAC": 1, "IPV6": 1, "IPV4": 2, "SECRET": 2}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.kind: r.n for r in redaction_counts(spark, str(tmp_path)).collect()} == want
+    brute = {}
+    for t in texts:
+        own, rest = set(), t or ""
+        for kind, pattern in rules.REDACTION:
+            own |= {(kind, v) for v in re.findall(pattern, rest)}
+            rest = re.sub(pattern, "", rest)
+        for kind, _ in own:
+            brute[kind] = brute.get(kind, 0) + 1
+    assert brute == want
+
+
 def test_a_value_keeps_its_first_placeholder():
     t = redaction.Tokenizer([])
     assert t.token("root", "USER") == t.token("root", "HOST") == "{USER_001}"
