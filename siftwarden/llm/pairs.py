@@ -2,8 +2,8 @@
 
 ``empty``: no content, whatever its wrapping. ``copy``: a suffix automaton of the prompt
 measures how much of the answer is copied from it and which part of the prompt is given back.
-``refusal``: an automaton over the opening sentences of the answer's prose knows how refusals
-are phrased. ``truncated``: a stack of delimiters is open at the end, or prose has no end.
+``refusal``: an automaton over the whole prose of the answer, quotations left out, knows how
+refusals are phrased. ``truncated``: a stack of delimiters is open at the end, or prose has no end.
 ``other_language``: stopwords of the answer's own prose vote for another language than those
 of the instruction. The parser's error column is no evidence and is not read.
 """
@@ -140,6 +140,8 @@ def _bare(text: str) -> str:
 
 
 LEAST = 24
+#: The longest run of at least LEAST characters that may hold no more than one aligned block.
+_A_BLOCK = 3 * (LEAST // 2) - 2
 
 
 def copied_shares(prompt: str, answer: str, finding: tuple[int, int] | None = None, least: int = LEAST) -> tuple[float, float, float]:
@@ -172,10 +174,11 @@ def _finding_span(prompt: str) -> tuple[int, int] | None:
 def is_copy(prompt: str, variants: list[str], share: float = 0.9) -> bool:
     """True if the prompt, or its whole finding, is given back in one of the variants.
 
-    A cheap bound comes first: a copied run of ``LEAST`` characters holds an aligned block of
-    half that length, so an answer of which no tenth of the blocks occurs in the prompt
-    cannot hold the prompt or the finding... unless it is ten times as long, which the
-    bound allows for by counting blocks against the prompt's length.
+    An answer shorter than that share gives neither back. Then a cheap bound comes first. A run
+    of ``LEAST`` or more characters holds aligned blocks of half that length, one for every
+    ``_A_BLOCK`` characters at least. Of the runs that cover a part of the prompt, some cover it
+    with no place in more than two of them. So, of the prompt's aligned blocks, the answer has
+    at least one for every ``2 * _A_BLOCK`` characters that are given back.
     """
     bare = _bare(prompt)
     half = LEAST // 2
@@ -188,8 +191,8 @@ def is_copy(prompt: str, variants: list[str], share: float = 0.9) -> bool:
         must = share * min(len(bare), span[1] - span[0] if span else len(bare))
         if len(answer) < must:
             continue
-        blocks = sum(answer[i : i + half] in bare for i in range(0, len(answer) - half + 1, half))
-        if blocks * LEAST < must - LEAST:
+        blocks = sum(bare[i : i + half] in answer for i in range(0, len(bare) - half + 1, half))
+        if blocks * 2 * _A_BLOCK < must:
             continue
         _, back, finding = copied_shares(bare, answer, span)
         if back >= share or finding >= share:
@@ -220,16 +223,11 @@ REFUSALS = [
     r"お答えできません|回答できません|お手伝いできません|対応できません|できかねます|申し訳(?:ありません|ございません)が|お断り",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
-_OPENING = re.compile(r"(?:[^.!?。！？]|[.](?=\w))*[.!?。！？]?\s*")
 
 
 def is_refusal(prose: str) -> bool:
-    """True if one of the first two sentences declines. Quoted text does not count."""
-    text = _QUOTED.sub(" ", prose[:600]).replace("’", "'").lower()
-    if m := _OPENING.match(text):
-        second = _OPENING.match(text, m.end())
-        text = text[: second.end() if second else m.end()]
-    return _REFUSAL.search(text) is not None
+    """True if the text declines anywhere. Quoted text does not count."""
+    return _REFUSAL.search(_QUOTED.sub(" ", prose).replace("’", "'").lower()) is not None
 
 
 # -- truncation -----------------------------------------------------------------------------
@@ -283,6 +281,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _QUOTED = re.compile(r"\"[^\"]{12,}\"|«[^»]{12,}»|„[^“”]{12,}[“”]|“[^”]{12,}”")
 _KANA = re.compile(r"[぀-ヿ]")
 _HAN = re.compile(r"[぀-ヿ一-鿿]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff぀-ヿ㐀-鿿]")
 DIRECTIVES = {"en": r"\bin english\b|\bauf englisch\b|\ben anglais\b|\ben inglés\b", "de": r"\bauf deutsch\b|\bin german\b|\ben allemand\b|\ben alemán\b", "fr": r"\ben français\b|\bin french\b|\bauf französisch\b|\ben francés\b", "es": r"\ben español\b|\bin spanish\b|\bauf spanisch\b|\ben espagnol\b", "ja": r"日本語で|\bin japanese\b|\bauf japanisch\b"}
 _DIRECTIVES = [(lang, re.compile(p, re.I)) for lang, p in DIRECTIVES.items()]
 
@@ -346,6 +345,11 @@ def instruction_language(prompt: str) -> str:
 # -- together -------------------------------------------------------------------------------
 
 
+def _is_prose(text: str) -> bool:
+    """True for text of several words, or in a script that puts no spaces between them."""
+    return " " in text or _UNSPACED.search(text) is not None
+
+
 def defect(prompt: str, raw: str | None) -> str | None:
     """The first defect that fits, or None. A null answer is empty; a blank prompt is no pair."""
     body = "" if raw is None else unwrapped(raw)
@@ -355,13 +359,13 @@ def defect(prompt: str, raw: str | None) -> str | None:
     leaves = [] if value is _BAD else _leaves(value, [])
     if value is not _BAD and not any(map(_has_content, leaves)):
         return EMPTY
-    texts = [x for x in leaves if isinstance(x, str) and " " in x] if value is not _BAD else [body]
+    texts = [x for x in leaves if isinstance(x, str) and _is_prose(x)] if value is not _BAD else [body]
     if is_copy(prompt, [body, *(x for x in texts if x is not body and len(x) > 2 * LEAST)]):
         return COPY
     prose = " ".join(texts)
     if value is _BAD and body[:1] in ("{", "["):
-        prose = " ".join(x for x in re.findall(r'"((?:[^"\\]|\\.)*)(?:"|$)', body) if " " in x)
-    if any(map(is_refusal, texts[:1] if value is not _BAD else [prose])):
+        prose = " ".join(x for x in re.findall(r'"((?:[^"\\]|\\.)*)(?:"|$)', body) if _is_prose(x))
+    if any(map(is_refusal, texts if value is not _BAD else [prose])):
         return REFUSAL
     if value is _BAD and is_cut(body):
         return TRUNCATED

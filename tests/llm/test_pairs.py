@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -56,3 +57,37 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "result_id bigint, prompt string, raw string, source string, defect int")
     assert sorted(map(tuple, pairs.broken_pairs(df).collect()), key=str) == [(1, "empty"), (None, "empty")]
     assert pairs.broken_pairs(df.limit(0)).count() == 0
+
+
+LONG = "The log shows several attempts from one address over a quarter of an hour. "
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "“" + "x y " * 200 + "” I'm sorry, but I cannot help with that.",
+        LONG * 9 + "I cannot assist with this request.",
+        "Thank you for your question. It is a good one. I cannot help with that.",
+        json.dumps({"severity": "low", "summary": "Two logins failed.", "rationale": "I cannot help with this request."}),
+        json.dumps({"answer": "申し訳ありませんが、お答えできません。"}, ensure_ascii=False),
+    ],
+)
+def test_refusals_are_found_wherever_they_stand(raw):
+    assert pairs.defect('Assess the finding. Answer in English. {"a": 1}', raw) == "refusal"
+
+
+def test_json_of_a_script_without_spaces_has_a_language():
+    raw = json.dumps({"rationale": "送信元のアドレスは既知の不審な一覧に含まれています。"}, ensure_ascii=False)
+    assert pairs.defect('Assess the finding. Answer in English. {"a": 1}', raw) == "other_language"
+    assert pairs.defect('以下を日本語で評価してください。{"a": 1}', raw) is None
+
+
+def test_bound_of_copies_drops_no_case():
+    rng = random.Random(3)
+    prompt = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(34 * 40))
+    answer = "-" + "--".join(prompt[i : i + 34] for i in range(0, len(prompt), 34))
+    assert pairs.copied_shares(prompt, answer)[1] == 1.0
+    assert pairs.is_copy(prompt, [answer])
+    for size in range(24, 60):
+        spoilt = "-".join(prompt[i : i + size] for i in range(rng.randrange(12), len(prompt), size))
+        assert pairs.is_copy(prompt, [spoilt]) == (max(pairs.copied_shares(prompt, spoilt)[1:]) >= 0.9)
