@@ -1,12 +1,12 @@
 """Log texts of many programs into entries with timestamp, level, component and message.
 
-The parser is a fixed-depth template tree. A line's leading tokens are masked (dates, clocks,
-numbers, addresses, ids become variables); the tree routes it by the number of its masked head
-tokens and by the first two of them; in the leaf it is merged into the most similar template,
-where differing positions become ``<*>``. When a leaf is first reached, its template's positions are
-mapped to fields by one of the known layouts, and every later line of the leaf is cut by that
-mapping alone. Lines that reach no mapped leaf continue the entry before them. Objects in
-JSON, on one line or on several, are read as JSON.
+A line's leading tokens are masked (dates, clocks, numbers, addresses, ids become variables) and
+route it: a leaf of the tree is a count of masked head tokens and their types. A route has
+known layouts, whole-line patterns that say what the positions are; where none of them fits,
+the positions of time, level and component are told by the types of the tokens
+(``typed_header``). Lines without a header continue the entry before them. Objects in JSON, on
+one line or on several, are read as JSON. The templates of a leaf are merged beside that and
+kept as a summary of the lines seen; no field is taken from them.
 
 The field mapping of a leaf depends on its route alone, not on the lines seen before, so the
 result does not depend on how rows are spread over tasks.
@@ -84,7 +84,7 @@ def any_time(value: object) -> str:
     for layout in LAYOUTS:
         if layout.loose and (m := layout.loose.fullmatch(text)):
             return layout.fields(m)[0]
-    return ""
+    return _stamp_of(m) if (m := _STAMP.fullmatch(text)) else ""
 
 
 def level_of(word: object) -> str:
@@ -172,6 +172,96 @@ for _layout in LAYOUTS:
     if "WARN" not in _layout.cut.pattern and _WORD in _layout.cut.pattern:
         _layout.cut = re.compile(_layout.cut.pattern, re.S | re.I)
 
+# -- headers of other programs: positions by the type of their tokens -------------------------
+
+_HOUR = r"(?P<h{0}>\d{{1,2}}):(?P<i{0}>\d\d):(?P<s{0}>\d\d)(?:[.,]\d+)?(?: ?(?P<half{0}>[AaPp][Mm])\b)?"
+_ZONE = r"(?: ?(?P<z{0}>Z|UTC|GMT|[+-]\d\d:?\d\d)\b)?"
+_ANY_MON = "(?:" + "|".join(MONTHS) + ")"
+_DATES = [
+    r"(?P<y0>\d{4})[-/.](?P<m0>\d{1,2})[-/.](?P<d0>\d{1,2})[T ]+",
+    r"(?P<m1>\d{1,2})/(?P<d1>\d{1,2})/(?P<y1>\d{4}),? +",
+    r"(?P<d2>\d{1,2})\.(?P<m2>\d{1,2})\.(?P<y2>\d{4}),? +",
+    r"(?:(?:mon|tue|wed|thu|fri|sat|sun)\w*,? +)?(?P<d3>\d{1,2})[/ -](?P<m3>" + _ANY_MON + r")\w*[/ -](?P<y3>\d{4})[: ]+",
+    r"(?:(?:mon|tue|wed|thu|fri|sat|sun)\w*,? +)?(?P<m4>" + _ANY_MON + r")\w*\.? +(?P<d4>\d{1,2})(?:,? +(?P<y4>\d{4}))?,? +",
+]
+_STAMP = re.compile("|".join(f"(?:{d}{_HOUR.format(i)}{'(?: (?P<e4>[0-9]{4})(?![0-9:]))?' if i == 4 else ''}{_ZONE.format(i)})" for i, d in enumerate(_DATES)) + r"|(?P<epoch>\d{10}(?:\d{3})?(?:\.\d+)?)(?=[\])]? +\[?(?:" + _WORD + r")\b)", re.I)
+_FIRST = re.compile(r"[\[(<]?(" + _WORD + r")[\])>]?:?[ \t|-]+(?=[\[(]?[\dA-Z])", re.I)
+_SEPARATORS = re.compile(r"(?:[\s|:,]|[-–](?=\s))*")
+_BRACKETS = re.compile(r"[\[(]([^\])]*)[\])]")
+_LEVEL_TOKEN = re.compile(r"(" + _WORD + r")(?=[\s:|,\]]|$)", re.I)
+_NUMBER_TOKEN = re.compile(r"(?:\d+(?:#\d+)?|pid[= ]\d+|0x[0-9a-f]+)(?=[\s:|,]|$)", re.I)
+_NAME = r"([A-Za-z_][\w.$@/-]*?)"
+_NAMED = re.compile(r"(?!(?:LOG|DETAIL|HINT|STATEMENT|CONTEXT|QUERY):)" + _NAME + r"(?:\[[\w.:#-]*\]|\(\d*\))?(?::\w*)*?(?::\d+)?(?::(?=\s|$)|(?=\s+[-|](?:\s|$)))")
+_HOSTED = re.compile(r"(?:[\w.:-]*[\d.-][\w.:-]*\s+" + _NAME + r"(?:\[\d*\])?|[\w.-]+\s+" + _NAME + r"\[\d+\]):(?=\s|$)")
+_DOTTED = re.compile(r"([A-Za-z_$][\w$]*(?:[.][A-Za-z_$][\w$]*)+)(?:\[\d*\]|:\d+)?(?=\s)")
+_SLASH_LEVEL = re.compile(_NAME + r"(?:\[\d*\])?(?:/(?i:(" + _WORD + r"))|\.(" + _WORD.upper() + r")):")
+
+
+def _stamp_of(m: re.Match) -> str:
+    if m["epoch"]:
+        return any_time(m["epoch"])
+    i = next(k for k in range(len(_DATES)) if m[f"h{k}"])
+    month, day, year = m[f"m{i}"], m[f"d{i}"], m[f"y{i}"] or (m["e4"] if i == 4 else None)
+    mo = int(month) if month.isdigit() else MONTHS[month[:3].lower()]
+    h = str(_half_day(m[f"h{i}"], m[f"half{i}"]))
+    if year is None:
+        return _yearless(mo, day, h, m[f"i{i}"], m[f"s{i}"])
+    return _utc(int(year), mo, int(day), int(h), int(m[f"i{i}"]), int(m[f"s{i}"]), m[f"z{i}"])
+
+
+def typed_header(line: str) -> tuple[str, str, str, str] | None:
+    """(time, level, component, message) of a header that has no layout: its line starts with a
+    date and clock, in brackets or after a level. What the tokens after it are is told by their
+    type: numbers and brackets (threads, ids), a level word, a name with a colon or dash.
+    A level word that is neither in capitals nor set off by punctuation is message.
+    """
+    level = component = held = ""
+    at = 0
+    if first := _FIRST.match(line):
+        level, at = level_of(first[1]), first.end()
+    bracket = line[at : at + 1] in ("[", "(")
+    m = _STAMP.match(line, at + bracket)
+    if m is None:
+        return None
+    at = m.end()
+    if bracket:
+        close = re.compile(r"[^\])]{0,8}[\])]").match(line, at)
+        if close is None:
+            return None
+        at = close.end()
+    elif line[at : at + 1].isalnum():
+        return None
+    for _ in range(8):
+        at = _SEPARATORS.match(line, at).end()
+        if x := _BRACKETS.match(line, at):
+            inner = x[1].strip()
+            head, _, tail = inner.rpartition(":")
+            if not level and level_of(inner):
+                level = level_of(inner)
+            elif not level and level_of(tail) and head:
+                level, held = level_of(tail), held or head
+            elif not re.fullmatch(r"[\d\s:#.-]*|(?:pid|tid|thread)\b.*|.*(?:thread|exec|worker|pool|main|http)\b.*|.*-\d+", inner, re.I):
+                held = held or inner
+        elif not level and (x := _LEVEL_TOKEN.match(line, at)) and (x[1].isupper() or line[x.end() : x.end() + 1] in (":", "|", ",") or re.match(r"\s+[-|\[]", line[x.end() :])):
+            level = level_of(x[1])
+        elif x := _NUMBER_TOKEN.match(line, at):
+            after = _SEPARATORS.match(line, x.end()).end()
+            if not (line[x.end() : x.end() + 1] == ":" or _LEVEL_TOKEN.match(line, after) or _BRACKETS.match(line, after)):
+                break
+        elif not component and not level and (x := _SLASH_LEVEL.match(line, at)):
+            component, level = x[1], level_of(x[2] or x[3])
+        elif not component and (x := _NAMED.match(line, at)):
+            component = x[1]
+        elif not component and (x := _HOSTED.match(line, at)):
+            component = x[1] or x[2]
+        elif not component and (x := _DOTTED.match(line, at)):
+            component = x[1]
+        else:
+            break
+        at = x.end()
+    return _stamp_of(m), level, component or held, line[at:]
+
+
 # -- pairs ----------------------------------------------------------------------------------
 
 _PAIR = re.compile(r'([A-Za-z_@][\w.@-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)(?:\s+|$)')
@@ -281,7 +371,10 @@ class TemplateTree:
             if m := layout.cut.match(line):
                 self.template(key, head)
                 return *layout.fields(m), m["msg"] or ""
-        return None
+        found = typed_header(line)
+        if found:
+            self.template(key, head)
+        return found
 
 
 _DECODER = json.JSONDecoder()

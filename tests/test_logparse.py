@@ -51,6 +51,36 @@ def test_impossible_dates_have_no_time():
     assert logparse.parse("31.02.2025 03:04:05 a/ERR: x")[0][2:5] == ("", "error", "a")
 
 
+OTHER_HEADERS = [
+    ("2025/01/02 03:04:05 ERROR db: lost", ("2025-01-02T03:04:05", "error", "db", "lost")),
+    ("2025/01/02 03:04:05 server.go:33: up", ("2025-01-02T03:04:05", "", "server.go", "up")),
+    ("2025-01-02T03:04:05.5+02:00 net.x.Loader - done", ("2025-01-02T01:04:05", "", "net.x.Loader", "done")),
+    ("[2025-01-02 03:04:05,123] [main] WARN net.x.Y - m", ("2025-01-02T03:04:05", "warn", "net.x.Y", "m")),
+    ("[2025-01-02T03:04:05Z] app.INFO: m", ("2025-01-02T03:04:05", "info", "app", "m")),
+    ("2025/01/02 03:04:05 [error] 31#31: *1 open", ("2025-01-02T03:04:05", "error", "", "*1 open")),
+    ("2025-01-02T03:04:05.1Z 140 [Warning] [MY-010] [Server] m", ("2025-01-02T03:04:05", "warn", "Server", "m")),
+    ("2025-01-02T03:04:05+00:00 web-01 sshd[99]: m", ("2025-01-02T03:04:05", "", "sshd", "m")),
+    ("2025-01-02 03:04:05.1 | INFO     | app.mod:run:12 - m", ("2025-01-02T03:04:05", "info", "app.mod", "m")),
+    ("02-Jan-2025 03:04:05.1 SEVERE [main] org.x.Y m", ("2025-01-02T03:04:05", "error", "org.x.Y", "m")),
+    ("Jan 02, 2025 03:04:05 PM org.x.Y m", ("2025-01-02T15:04:05", "", "org.x.Y", "m")),
+    ("ERROR 2025-01-02 03:04:05,1 svc: m", ("2025-01-02T03:04:05", "error", "svc", "m")),
+    ("2025-01-02 03:04:05 UTC [12] LOG:  m", ("2025-01-02T03:04:05", "", "", "LOG:  m")),
+    ("2025-01-02 03:04:05 error reading file", ("2025-01-02T03:04:05", "", "", "error reading file")),
+    ("1735840771.123 INFO x: y", ("2025-01-02T17:59:31", "info", "x", "y")),
+]
+
+
+@pytest.mark.parametrize(("line", "want"), OTHER_HEADERS)
+def test_headers_without_a_layout_are_entries(line, want):
+    known = "Jan  2 03:04:05 h app: z"
+    assert logparse.parse(f"{known}\n{line}\n  more\n\n{known}") == [(1, 1, "--01-02T03:04:05", "", "app", "z"), (2, 3, *want[:3], want[3] + "\n  more"), (5, 5, "--01-02T03:04:05", "", "app", "z")]
+
+
+@pytest.mark.parametrize("line", ["1735840771 items found", "Error: x 2025", "2025-01-02 report", "PORT 3 open", "[main] x", "java.io.IOException: at 10:00:00"])
+def test_lines_without_a_time_in_front_continue(line):
+    assert [e[:2] for e in logparse.parse(f"2025/01/02 03:04:05 ERROR db: lost\n{line}")] == [(1, 2)]
+
+
 def test_result_does_not_depend_on_lines_seen_before():
     rng = random.Random(1)
     lines = [line for line, _ in CASES] + [f"Jan  2 03:04:05 host{c} {c}: hi" for c in "abcdef"]
