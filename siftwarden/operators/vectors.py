@@ -23,7 +23,26 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 35, key: str = "vec_i
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def reranked(found: DataFrame, score: Column, keep: int = 6, floor: float = 0.0, key: str = "vec_id") -> DataFrame:
-    """The best ``keep`` by the second score, then those whose first score reaches the floor."""
-    ranked = found.withColumn("rerank_score", score).withColumn("_k", F.row_number().over(Window.orderBy(F.desc("rerank_score"), key)))
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 35, key: str = "vec_id", column: str = "embedding", of: str = "query_id") -> DataFrame:
+    """The k vectors nearest to each query, ties by key: ``of`` (the query's key) and the columns
+    of ``vectors`` without the vector.
+
+    Every query is scored against every vector, partition by partition; no side is collected or
+    broadcast by size of the data. Each task keeps k rows of a query before they are merged.
+    Null vectors are left out on both sides, a query given twice is taken once.
+    """
+    rest = [c for c in vectors.columns if c != column]
+    asked = queries.where(F.col(column).isNotNull()).select(F.col(key).alias(of), F.col(column).alias("_q")).dropDuplicates([of])
+    asked = asked.withColumn("_qn", F.sqrt(dot(F.col("_q"), F.col("_q"))))
+    held = vectors.where(F.col(column).isNotNull()).withColumn("_n", F.sqrt(dot(F.col(column), F.col(column))))
+    norms = F.col("_n") * F.col("_qn")
+    scored = held.crossJoin(asked).select(of, *rest, F.when(norms > 0, dot(F.col(column), F.col("_q")) / norms).otherwise(F.lit(0.0)).alias("similarity"))
+    ranked = scored.withColumn("_k", F.row_number().over(Window.partitionBy(of).orderBy(F.desc("similarity"), key)))
+    return ranked.where(F.col("_k") <= k).drop("_k")
+
+
+def reranked(found: DataFrame, score: Column, keep: int = 6, floor: float = 0.0, key: str = "vec_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The best ``keep`` by the second score (of each group ``by``), then those whose first score
+    reaches the floor."""
+    ranked = found.withColumn("rerank_score", score).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rerank_score"), key)))
     return ranked.where((F.col("_k") <= keep) & (F.col("similarity") >= floor)).drop("_k")

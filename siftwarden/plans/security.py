@@ -294,6 +294,21 @@ def vector_floor(spark, folder):
     return vectors.reranked(found, F.lit(100) - F.col("label") * 7 - F.col("vec_id") % 5, floor=0.1).select("vec_id", "label")
 
 
+def _neighbours(spark, folder):
+    v = table(spark, folder, "embeddings", spread=True)
+    return vectors.top_k_each(v, v.where("vec_id % 100 = 0"))
+
+
+def vector_topk_each(spark, folder):
+    """The nearest vectors of every vector whose id is divisible by 100."""
+    return _neighbours(spark, folder).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+def vector_floor_each(spark, folder):
+    """As ``vector_topk_each``, by the second score and above the floor of the first."""
+    return vectors.reranked(_neighbours(spark, folder), F.lit(100) - F.col("label") * 7 - F.col("vec_id") % 5, floor=0.1, by=("query_id",)).select("query_id", "vec_id", "label")
+
+
 def graph_type_counts(spark, folder):
     return graphs.type_counts(table(spark, folder, "sample_bundle"))
 
@@ -349,7 +364,7 @@ def redaction_round_trip(spark, folder):
 _NAMES = """lane_counts lane_drain_order request_lane_counts request_controls log_type_counts entity_extract signal_matrix control_hits ioc_join known_cve_hits
  detection_alerts detection_alert_counts first_rule severity_distribution top_factors crosswalk_nist crosswalk_hipaa mapping_resolve decision_tier verdict_shape
  verdict_cache suggestion_merge scan_match config_checks config_posture config_score eval_micro eval_per_control eval_per_tier eval_benign eval_worst replay_confusion
- replay_outcomes event_id_extract vector_topk vector_floor graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
+ replay_outcomes event_id_extract vector_topk vector_floor vector_topk_each vector_floor_each graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
  recent_n ring_buffer feed_sample grounded_mapping eval_macro routing_summary call_stats queue_depth narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -117,6 +119,29 @@ def test_redaction_round_trip(spark, text):
     assert "@" not in r[0].redacted and "555-0100" not in r[0].redacted
 
 
+def test_every_hundredth_vector_is_searched_against_all(spark, tmp_path):
+    from siftwarden.plans.security import vector_floor_each, vector_topk_each
+
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], i % 10) for i in range(250)]
+    rows[7], rows[8], rows[9] = (7, [0.0] * 8, 7), (8, None, 8), (9, rows[100][1], 9)
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    held = {r.vec_id: (r.embedding, r.label) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect() if r.embedding}
+
+    def cosine(a, b):
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+
+    top, floor = set(), set()
+    for q in (0, 100, 200):
+        best = sorted((-cosine(held[q][0], e), i) for i, (e, _) in held.items())[:35]
+        top |= {(q, i, round(-s, 5)) for s, i in best}
+        second = sorted(best, key=lambda x: (-(100 - held[x[1]][1] * 7 - x[1] % 5), x[1]))[:6]
+        floor |= {(q, i, held[i][1]) for s, i in second if -s >= 0.1}
+    assert {(r.query_id, r.vec_id, r.similarity) for r in vector_topk_each(spark, str(tmp_path)).collect()} == top
+    assert {tuple(r) for r in vector_floor_each(spark, str(tmp_path)).collect()} == floor
+
+
 def test_redaction_counts_every_kind(spark, tmp_path):
     from siftwarden.plans.security import redaction_counts
 
