@@ -211,6 +211,12 @@ def queue_depth(spark, folder):
     return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("pending"))
 
 
+def queue_depth_all(spark, folder):
+    """Pending events of each lane over the whole queue."""
+    rows = raw_logs(spark, folder).select(normalise.lane(F.lower("raw")).alias("lane"))
+    return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("pending"))
+
+
 def narrative_gate(spark, folder):
     """Findings for which a report would be written from severity high on."""
     s = normalise.severity_score()["severity"]
@@ -365,7 +371,7 @@ _NAMES = """lane_counts lane_drain_order request_lane_counts request_controls lo
  detection_alerts detection_alert_counts first_rule severity_distribution top_factors crosswalk_nist crosswalk_hipaa mapping_resolve decision_tier verdict_shape
  verdict_cache suggestion_merge scan_match config_checks config_posture config_score eval_micro eval_per_control eval_per_tier eval_benign eval_worst replay_confusion
  replay_outcomes event_id_extract vector_topk vector_floor vector_topk_each vector_floor_each graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
- recent_n ring_buffer feed_sample grounded_mapping eval_macro routing_summary call_stats queue_depth narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
+ recent_n ring_buffer feed_sample grounded_mapping eval_macro routing_summary call_stats queue_depth queue_depth_all narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # -- SQL ------------------------------------------------------------------------------------

@@ -142,6 +142,20 @@ def test_every_hundredth_vector_is_searched_against_all(spark, tmp_path):
     assert {tuple(r) for r in vector_floor_each(spark, str(tmp_path)).collect()} == floor
 
 
+def test_queue_depth_counts_every_event(spark, data):
+    from siftwarden.plans.rawlogs import raw_logs
+    from siftwarden.plans.security import queue_depth_all
+
+    def lane(raw):
+        return next((n for n, p in rules.LANES.items() if re.search(p, raw, re.I)), "COLD")
+
+    queue = {}
+    for r in raw_logs(spark, data).select("raw").collect():
+        queue[lane(r.raw)] = queue.get(lane(r.raw), 0) + 1
+    assert {r.lane: r.pending for r in queue_depth_all(spark, data).collect()} == queue
+    assert sum(queue.values()) == spark.read.parquet(f"{data}/events.parquet").count()
+
+
 def test_redaction_counts_every_kind(spark, tmp_path):
     from siftwarden.plans.security import redaction_counts
 
