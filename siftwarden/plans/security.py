@@ -207,11 +207,6 @@ def call_stats(spark, folder):
 
 
 def queue_depth(spark, folder):
-    rows = raw_logs(spark, folder).where("event_seq % 10 < 3").select(normalise.lane(F.lower("raw")).alias("lane"))
-    return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("pending"))
-
-
-def queue_depth_all(spark, folder):
     """Pending events of each lane over the whole queue."""
     rows = raw_logs(spark, folder).select(normalise.lane(F.lower("raw")).alias("lane"))
     return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("pending"))
@@ -287,31 +282,18 @@ def event_id_extract(spark, folder):
     return raw_logs(spark, folder).select("event_seq", F.coalesce(scoring.event_id(text), F.lit("")).alias("event_id"))
 
 
-def vector_topk(spark, folder):
-    v = table(spark, folder, "embeddings")
-    query = v.where("vec_id = 0").select("embedding").first()[0]
-    return vectors.top_k(v, [float(x) for x in query]).select("vec_id", F.round("similarity", 5).alias("similarity"))
-
-
-def vector_floor(spark, folder):
-    v = table(spark, folder, "embeddings")
-    query = v.where("vec_id = 0").select("embedding").first()[0]
-    found = vectors.top_k(v, [float(x) for x in query])
-    return vectors.reranked(found, F.lit(100) - F.col("label") * 7 - F.col("vec_id") % 5, floor=0.1).select("vec_id", "label")
-
-
 def _neighbours(spark, folder):
     v = table(spark, folder, "embeddings", spread=True)
     return vectors.top_k_each(v, v.where("vec_id % 100 = 0"))
 
 
-def vector_topk_each(spark, folder):
+def vector_topk(spark, folder):
     """The nearest vectors of every vector whose id is divisible by 100."""
     return _neighbours(spark, folder).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
-def vector_floor_each(spark, folder):
-    """As ``vector_topk_each``, by the second score and above the floor of the first."""
+def vector_floor(spark, folder):
+    """As ``vector_topk``, by the second score and above the floor of the first."""
     return vectors.reranked(_neighbours(spark, folder), F.lit(100) - F.col("label") * 7 - F.col("vec_id") % 5, floor=0.1, by=("query_id",)).select("query_id", "vec_id", "label")
 
 
@@ -370,8 +352,8 @@ def redaction_round_trip(spark, folder):
 _NAMES = """lane_counts lane_drain_order request_lane_counts request_controls log_type_counts entity_extract signal_matrix control_hits ioc_join known_cve_hits
  detection_alerts detection_alert_counts first_rule severity_distribution top_factors crosswalk_nist crosswalk_hipaa mapping_resolve decision_tier verdict_shape
  verdict_cache suggestion_merge scan_match config_checks config_posture config_score eval_micro eval_per_control eval_per_tier eval_benign eval_worst replay_confusion
- replay_outcomes event_id_extract vector_topk vector_floor vector_topk_each vector_floor_each graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
- recent_n ring_buffer feed_sample grounded_mapping eval_macro routing_summary call_stats queue_depth queue_depth_all narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
+ replay_outcomes event_id_extract vector_topk vector_floor graph_type_counts graph_one_hop scf_crosswalk scf_expand scf_strm latency_percentiles saturation_point
+ recent_n ring_buffer feed_sample grounded_mapping eval_macro routing_summary call_stats queue_depth narrative_gate json_repair agent_outputs numbered_prompts graph_hashes bundle_sample frameworks_present timeline_recent alert_counters redaction_counts redaction_round_trip""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # -- SQL ------------------------------------------------------------------------------------
@@ -524,7 +506,7 @@ _SCF = (
 _NODES = "nodes AS (SELECT bundle_id, n.id AS id, arg_max(n.type, pos) AS type FROM (SELECT DISTINCT manifest.bundle_id AS bundle_id, unnest(graph.nodes) AS n, generate_subscripts(graph.nodes, 1) AS pos FROM sample_bundle) WHERE n IS NOT NULL GROUP BY ALL)"
 _EDGES = "edges AS (SELECT DISTINCT bundle_id, pos, e.src AS src, e.dst AS dst, e.rel AS rel FROM (SELECT manifest.bundle_id AS bundle_id, unnest(graph.edges) AS e, generate_subscripts(graph.edges, 1) AS pos FROM sample_bundle) WHERE e IS NOT NULL)"
 _COSINE = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
-_TOP = f"q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), k AS (SELECT vec_id, label, {_COSINE} AS similarity FROM embeddings e, q ORDER BY similarity DESC, vec_id LIMIT 35)"
+_TOP = f"q AS (SELECT DISTINCT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL), k AS (SELECT query_id, vec_id, label, {_COSINE} AS similarity FROM embeddings e, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE} DESC, vec_id) <= 35)"
 _HEX = "lpad(lower(printf('%x', event_id)), 32, 'a')"
 
 
@@ -574,8 +556,8 @@ ORACLES = {
     "replay_confusion": _F + _REPLAY + ", c AS (SELECT count_if(label = 'malicious') AS malicious, count_if(label = 'malicious' AND (alerted OR via_corr)) AS tp, count_if(label = 'malicious' AND NOT (alerted OR via_corr)) AS fn, count_if(label = 'benign' AND (alerted OR via_corr)) AS fp, count_if(label = 'benign' AND NOT (alerted OR via_corr)) AS tn, count_if(label = 'benign_suspicious' AND (alerted OR via_corr)) AS sus_alert, count_if(label = 'malicious' AND alerted) AS tp_single, count_if(label = 'malicious' AND via_corr) AS via_corr FROM l) SELECT *, round_even(coalesce(tp / nullif(tp + fp, 0), 0.0), 2) AS precision, round_even(coalesce(tp / nullif(malicious, 0), 0.0), 2) AS recall, round_even(coalesce(tp_single / nullif(malicious, 0), 0.0), 2) AS recall_single FROM c",
     "replay_outcomes": _F + _REPLAY + " SELECT label, alerted, via_corr, count(*) AS n FROM l GROUP BY ALL",
     "event_id_extract": f"SELECT event_id AS event_seq, CASE event_id % 5 WHEN 0 THEN 'e' || {_HEX} WHEN 4 THEN '' ELSE {_HEX} END AS event_id FROM events",
-    "vector_topk": f"WITH {_TOP} SELECT vec_id, round(similarity, 5) AS similarity FROM k",
-    "vector_floor": f"WITH {_TOP}, r AS (SELECT *, row_number() OVER (ORDER BY 100 - label * 7 - vec_id % 5 DESC, vec_id) AS p FROM k) SELECT vec_id, label FROM r WHERE p <= 6 AND similarity >= 0.1",
+    "vector_topk": f"WITH {_TOP} SELECT query_id, vec_id, round(similarity, 5) AS similarity FROM k",
+    "vector_floor": f"WITH {_TOP}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 100 - label * 7 - vec_id % 5 DESC, vec_id) AS p FROM k) SELECT query_id, vec_id, label FROM r WHERE p <= 6 AND similarity >= 0.1",
     "graph_type_counts": f"WITH {_NODES}, {_EDGES} SELECT 'node' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY ALL",
     "graph_one_hop": f"WITH {_NODES}, {_EDGES} SELECT DISTINCT e.bundle_id, e.src AS start, e.dst AS reached, b.type AS reached_type FROM edges e JOIN nodes a ON a.bundle_id = e.bundle_id AND a.id = e.src AND a.type = 'control' JOIN nodes b ON b.bundle_id = e.bundle_id AND b.id = e.dst",
     "scf_crosswalk": _SCF + " SELECT scf_id, framework, ext_id, norm_id FROM w",
@@ -589,7 +571,7 @@ ORACLES = {
     "eval_macro": _JUDGE + ", p AS (SELECT tp, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c) SELECT round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0.0)), 6) AS macro_f1, count_if(tp > 0) AS covered, count(*) AS n FROM p",
     "routing_summary": _F + f"x AS (SELECT CASE WHEN len({_CVE}) > 0 THEN 'scan_engine' WHEN {_FIRST} <> '' THEN 'siem_rule' WHEN len(rule_controls) > 0 THEN 'compliance_rule' WHEN {_RISKY} THEN 'llm' ELSE 'deterministic' END AS decided_by FROM f) SELECT decided_by, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS pct, decided_by <> 'llm' AS deterministic FROM x GROUP BY 1",
     "call_stats": "WITH d AS (SELECT DISTINCT result_id, agent, ok, completion_tokens, latency_ms FROM agent_results) SELECT agent, count(*) AS completed, count_if(NOT coalesce(ok, false)) AS errors, round_even(count_if(NOT coalesce(ok, false)) / count(*), 3) AS error_rate, coalesce(sum(completion_tokens), 0)::BIGINT AS tokens, round_even(coalesce(sum(completion_tokens), 0) / count(*), 1) AS avg_tokens, max(CASE WHEN latency_ms >= 0 THEN latency_ms END) AS max_ms FROM d GROUP BY 1",
-    "queue_depth": f"SELECT {_lane_sql('raw')} AS lane, count(*) AS pending FROM ({_TYPED}) WHERE event_seq % 10 < 3 GROUP BY 1",
+    "queue_depth": f"SELECT {_lane_sql('raw')} AS lane, count(*) AS pending FROM ({_TYPED}) GROUP BY 1",
     "narrative_gate": _F + f"x AS (SELECT {_SEVERITY} AS severity FROM f) SELECT severity, severity IN ('critical', 'high') AS report, count(*) AS n FROM x GROUP BY ALL",
     "bundle_sample": "SELECT DISTINCT bundle_id, pos - 1 AS pos, n.id AS id FROM (SELECT manifest.bundle_id AS bundle_id, unnest(graph.nodes) AS n, generate_subscripts(graph.nodes, 1) AS pos FROM sample_bundle) WHERE pos <= 10",
     "frameworks_present": _SCF + " SELECT DISTINCT framework FROM w",

@@ -9,21 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwarden.shipping import ship
 
 
+#: Inputs up to this many bytes are dealt out to all cores; larger ones keep their own splits.
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """Lazily reads ``<folder>/<name>.parquet``; instants are taken and shown in UTC.
 
-    ``spread``: for work that costs much per row, see ``spread``.
+    That is a setting of the session, so a session in another zone is set to UTC here and stays
+    so. ``spread``: for work that costs much per row, see ``spread_out``.
     """
     ship(spark)
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return spread_out(df) if spread else df
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Deals a scan's rows to all cores where it has fewer splits than those, as with one file
-    of one row group. A scan with enough splits is left alone, so large inputs see no shuffle."""
+def spread_out(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """Deals the rows of a small scan to all cores where it has fewer splits than those, as with
+    one file of one row group. The bound is in bytes, whatever the number of cores: a scan of
+    more than ``most`` bytes is never shuffled for that, however large the cluster is."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if splits < cores else df
