@@ -66,14 +66,19 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p9_containers(spark, folder))
 
 
+#: The share that defines a case of p10_found. Only there it bounds the adaptive thresholds, so
+#: that no case is filtered out before the exact check.
+_CASE_SHARE = 0.25
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of which at least a quarter is repeated: the flagged ones, checked exactly."""
-    flagged = repetition.flagged(table(spark, folder, "documents", spread=True))
+    flagged = repetition.flagged(table(spark, folder, "documents", spread=True), ceiling=_CASE_SHARE)
     return flagged.where("4 * n_repeated >= n_words").select("doc_id").distinct()
 
 
 def p10_flagged(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents over the threshold of their language and source."""
+    """Documents over the adaptive threshold of their language and source."""
     return repetition.flagged(table(spark, folder, "documents", spread=True))
 
 
@@ -87,14 +92,37 @@ QUERIES = {
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_flagged": p10_flagged, "p10_shares": p10_shares,
 }
 _REPEATS = r"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lower(trim(lang)), '') AS lang, coalesce(trim(source), '') AS source, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
 p AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 g AS (SELECT r, i, string_agg(word, ' ') OVER n AS run, count(*) OVER n AS k FROM p WINDOW n AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 d AS (SELECT r, i, row_number() OVER (PARTITION BY r, run ORDER BY i) AS seen FROM g WHERE k = 10),
 c AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, i + unnest(range(0, 10)) AS place FROM d WHERE seen > 1) GROUP BY r),
-s AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_repeated, CASE WHEN len(ws) > 0 THEN coalesce(n, 0) / len(ws) ELSE 0.0::DOUBLE END AS share FROM w LEFT JOIN c USING (r))
+s AS (SELECT doc_id, lang, source, len(ws) AS n_words, coalesce(n, 0) AS n_repeated, CASE WHEN len(ws) > 0 THEN coalesce(n, 0) / len(ws) ELSE 0.0::DOUBLE END AS share FROM w LEFT JOIN c USING (r))
 """
+_LATENCIES = """
+WITH r AS (SELECT result_id, agent, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, latency_ms FROM agent_results WHERE latency_ms >= 0),
+o AS (SELECT unnest(x) FROM (SELECT min({'agent': agent, 'day': day, 'latency_ms': latency_ms}) AS x FROM r WHERE result_id IS NOT NULL GROUP BY result_id)
+  UNION ALL SELECT DISTINCT agent, day, latency_ms FROM r WHERE result_id IS NULL),
+"""
+
+
+def _ranked_sql(keys: str) -> str:
+    """Nearest ranks of sorted lists; digests of fewer values than their compression are exact."""
+    ranks = ", ".join(f"v[CAST(least(len(v) - 1, round_even({p} * (len(v) - 1), 0)) AS BIGINT) + 1] AS {quantiles.share_name(p)}" for p in quantiles.PERCENTILES)
+    return _LATENCIES + f"g AS (SELECT {keys}, list_sort(list(latency_ms)) AS v FROM o GROUP BY ALL) SELECT {keys}, len(v) AS n_values, {ranks}, CASE WHEN len(v) < {quantiles.COMPRESSION} THEN 0::BIGINT END AS rank_error FROM g"
+
+
+_FLAGGED = f"""
+, gq AS (SELECT lang, source, list_sort(list(share)) AS v FROM s GROUP BY ALL),
+lq AS (SELECT lang, list_sort(list(share)) AS v FROM s GROUP BY ALL),
+eq AS (SELECT list_sort(list(share)) AS v FROM s),
+t AS (SELECT gq.lang, gq.source, greatest({repetition.FLOOR}, CASE WHEN len(gq.v) >= {repetition.LEAST} THEN %(gq)s WHEN len(lq.v) >= {repetition.LEAST} THEN %(lq)s ELSE %(eq)s END) AS threshold FROM gq JOIN lq USING (lang), eq)
+SELECT doc_id, lang, source, n_words, n_repeated, share, threshold::DOUBLE AS threshold FROM s JOIN t USING (lang, source) WHERE share >= threshold AND n_repeated > 0
+""" % {t: f"{t}.v[CAST(round_even({repetition.QUANTILE} * (len({t}.v) - 1), 0) AS BIGINT) + 1]" for t in ("gq", "lq", "eq")}
 ORACLES = {
+    "p7_percentiles": _ranked_sql("agent, day"),
+    "p7_merged": _ranked_sql("agent"),
+    "p10_flagged": _REPEATS + _FLAGGED,
     "p10_shares": _REPEATS + "SELECT doc_id, n_words, n_repeated, share FROM s",
     "p10_found": _REPEATS + "SELECT DISTINCT doc_id FROM s WHERE n_words > 0 AND 4 * n_repeated >= n_words",
 }

@@ -5,8 +5,9 @@ already began earlier in the same text. Runs are found by window hashes over a w
 once and confirmed word by word.
 
 What counts as too much is not one fixed share: mergeable quantile sketches of the shares per
-language and source give each group its own threshold, at most the ceiling, and documents are
-filtered by a join with the thresholds of their group.
+language and source give each group its own threshold. A group of few documents takes the one
+of its language, a small language that of all documents; both come from the same sketches,
+merged. Documents are then filtered by a join with the thresholds of their group.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwarden.llm.quantiles import digests, percentiles, share_name
+from siftwarden.llm.quantiles import digests, merge_digests, percentiles, share_name
 from siftwarden.sources.tables import checkpointed
 
 RUN = 10
-CEILING = 0.25
-#: Shares are counted in millionths where sketches need integers.
-UNIT = 1_000_000
+#: Least threshold: below it, repetition is common in ordinary texts.
+FLOOR = 0.05
+#: Documents that a group needs for a threshold of its own.
+LEAST = 50
+QUANTILE = 0.95
 SHARE_SCHEMA = "doc_id bigint, lang string, source string, n_words bigint, n_repeated bigint"
 _WORD = re.compile(r"[^\W_]+")
 _SLICE_CHARS = 2 << 20
@@ -122,18 +125,32 @@ def shares(documents: DataFrame, run: int = RUN) -> DataFrame:
     return measured.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
-def thresholds(measured: DataFrame, quantile: float = 0.95, ceiling: float = CEILING) -> DataFrame:
-    """(lang, source, threshold): the quantile of each group's shares, at most ``ceiling``."""
-    sketches = digests(measured.withColumn("_v", F.floor(F.col("share") * UNIT)), ["lang", "source"], "_v")
-    cut = F.least(F.col(share_name(quantile)) / F.lit(float(UNIT)), F.lit(ceiling))
-    return percentiles(sketches, ["lang", "source"], (quantile,)).select("lang", "source", cut.alias("threshold"))
+def thresholds(measured: DataFrame, quantile: float = QUANTILE, floor: float = FLOOR, ceiling: float = 1.0, least: int = LEAST) -> DataFrame:
+    """(lang, source, threshold): the quantile of each group's shares, from ``floor`` to ``ceiling``.
+
+    Groups of fewer than ``least`` documents take the quantile of their language, those of
+    languages with fewer that of all documents. The sketches are made once and merged for both.
+    """
+    q = share_name(quantile)
+    own = digests(measured, ["lang", "source"], "share").withColumn("_all", F.lit(1))
+
+    def cut(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return percentiles(sketches, keys, (quantile,), whole=False).select(*keys, F.when(F.col("n_values") >= least, F.col(q)).alias(name))
+
+    groups = cut(own, ["lang", "source"], "_own")
+    languages = cut(merge_digests(own, ["lang"]), ["lang"], "_lang")
+    every = percentiles(merge_digests(own, ["_all"]), ["_all"], (quantile,), whole=False).select(F.col(q).alias("_every"))
+    held = groups.join(languages, "lang").join(F.broadcast(every))  # one row
+    found = F.coalesce("_own", "_lang", "_every")
+    return held.select("lang", "source", F.least(F.greatest(found, F.lit(floor)), F.lit(ceiling)).alias("threshold"))
 
 
-def flagged(documents: DataFrame, quantile: float = 0.95, ceiling: float = CEILING, run: int = RUN) -> DataFrame:
+def flagged(documents: DataFrame, quantile: float = QUANTILE, floor: float = FLOOR, ceiling: float = 1.0, run: int = RUN, least: int = LEAST) -> DataFrame:
     """Documents at or over their group's threshold: SHARE_SCHEMA, share, threshold.
 
-    The thresholds never exceed ``ceiling``, so every document with that share is among them.
-    The measure is made once: its narrow result goes through the shared checkpoint folder.
+    ``ceiling`` bounds the thresholds where documents of a certain share must be among the
+    result. The measure is made once: its narrow result goes through the shared checkpoint
+    folder. Documents without repeated words are never flagged; an empty table gives no row.
     """
     measured = checkpointed(shares(documents, run))
-    return measured.join(thresholds(measured, quantile, ceiling), ["lang", "source"]).where((F.col("share") >= F.col("threshold")) & (F.col("n_repeated") > 0))
+    return measured.join(thresholds(measured, quantile, floor, ceiling, least), ["lang", "source"]).where((F.col("share") >= F.col("threshold")) & (F.col("n_repeated") > 0))
