@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.operators import logparse, nested, orphans, packed
-from siftwarden.sources.tables import table
+from siftwarden.sources.tables import stored, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,10 +30,6 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_entries(spark, folder).select("table_name", "row_key", "first_line", "last_line", "entry_ts", "entry_level", "component").distinct()
 
 
-def _triples(spark: SparkSession, folder: str, fields: tuple[str, ...], columns: tuple[str, ...] = nested.FINDING_COLUMNS) -> DataFrame:
-    return nested.triples(table(spark, folder, "mvp_findings", spread=True), columns=columns, fields=fields)
-
-
 def p3_triples(spark: SparkSession, folder: str) -> DataFrame:
     """All path-value-ordinal triples."""
     return nested.triples(table(spark, folder, "mvp_findings", spread=True))
@@ -41,16 +37,23 @@ def p3_triples(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Objects in the lists of findings, by path."""
-    return nested.objects(_triples(spark, folder, ())).select(F.col("record_id").alias("finding_id"), F.col("row_path").alias("path"))
+    return nested.objects(p3_triples(spark, folder)).select(F.col("record_id").alias("finding_id"), F.col("row_path").alias("path")).distinct()
+
+
+#: Triples by application and folder: all flat tables are made from one stored stage.
+_STAGES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _stage(spark: SparkSession, folder: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STAGES:
+        _STAGES[key] = stored(p3_triples(spark, folder))
+    return _STAGES[key]
 
 
 def _flat(table_path: str, fields: list[str]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        records, column = table(spark, folder, "mvp_findings", spread=True), table_path.split(".")[0]
-        # Names only, a few per table; those that are listed come first and always.
-        found = nested.field_names(records, (column,)).where(F.col("table_path") == table_path)
-        every = [*fields, *sorted({r.field for r in found.collect()} - set(fields))]
-        return nested.pivoted(nested.triples(records, columns=(column,), fields=tuple(every)), table_path, every)
+        return nested.flat_tables(_stage(spark, folder), {table_path: fields})[table_path]
 
     query.__doc__ = f"Flat table of {table_path} with all its fields, its parent and position."
     return query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +38,32 @@ def spread_out(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
     return df.repartition(cores) if splits < cores else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` through files that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a folder below the working directory's temporary space is chosen.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Only where
+    that is unset (local tests) a folder below the temporary space is chosen."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder
     context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(os.environ.get("TMPDIR", "/tmp"), f"siftwarden-{context.applicationId}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of ``df`` through files that all executors share."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"siftwarden-{context.applicationId}")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A frame that is read several times, written once as a table in the shared folder; column
+    pruning and filters reach it. The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

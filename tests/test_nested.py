@@ -1,4 +1,5 @@
 import json
+import time
 
 from siftwarden.operators import nested
 
@@ -30,6 +31,28 @@ def test_incomplete_and_null_documents(spark):
     assert paths(spark, dal="[" * 200_000) == set()
 
 
+def test_depth_is_no_limit(spark):
+    n = 100_000
+    deep = '{"tokens": [{"kind": ' + "[" * n + "]" * n + ', "a": ' + '{"b": ' * n + "1" + "}" * n + "}]}"
+    df = spark.createDataFrame([("F", None, None, None, deep, 1)], SCHEMA)
+    began = time.perf_counter()
+    got = {r.field: r.value for r in nested.triples(df).collect()}
+    assert time.perf_counter() - began < 20
+    assert got["kind"] == "[" * n + "]" * n and got["a." + ".".join(["b"] * n)] == "1"
+
+
+def test_documents_that_differ_do_not_mix(spark):
+    docs = [("F", "a", 2), ("F", "b", 1), (None, "ip", 1), (None, "dns", 2), (None, "dns", 2)]
+    df = spark.createDataFrame([(k, None, None, None, json.dumps({"tokens": [{"kind": t, "n": v}]}), 1) for k, t, v in docs], SCHEMA)
+    got = nested.pivoted(nested.triples(df), "dal.tokens", ["kind", "n"]).collect()
+    assert sorted(((r.record_id, r.kind, r.n) for r in got), key=str) == sorted({(k, t, str(v)) for k, t, v in docs}, key=str)
+
+
+def test_half_surrogate_pairs(spark):
+    df = spark.createDataFrame([("F", None, None, None, '{"tokens": [{"a\\ud800": "x\\udfff", "n": 1}]}', 1)], SCHEMA)
+    assert {(r.field, r.value) for r in nested.triples(df).where("field is not null").collect()} == {("a\ufffd", "x\ufffd"), ("n", "1")}
+
+
 def test_deep_lists_and_long_texts(spark):
     evidence = [{"control_id": "x" * 100_000, "nist": [{"id": str(i)} for i in range(50)]}]
     assert len(paths(spark, verdict=json.dumps({"evidence": evidence}))) == 51
@@ -63,6 +86,6 @@ def test_flat_tables_have_roots_and_every_field(spark, tmp_path):
     a, b = got["p3_agents"]
     assert (a["output_severity"], a["output_control_ids"], a["output_odd"], b["f_ordinal"], b["agent"]) == ("high", '["C1"]', None, "7", None)
     assert got["p3_steps"][0]["owner"] == "o"
-    assert sorted(str(x) for k, x in got["p3_hits"][0].items() if k not in ("record_id", "row_path", "parent_path", "ordinal")) == ["None", "None", "None", "d", "v", "w", "x"]
+    assert sorted(str(x) for k, x in got["p3_hits"][0].items() if k not in ("record_id", "row_path", "parent_path", "ordinal", "version")) == ["None", "None", "None", "d", "v", "w", "x"]
     roots = {r["row_path"] for n in ("p3_findings", "p3_verdicts", "p3_dal") for r in got[n]}
     assert {r["parent_path"] for n in ("p3_hits", "p3_evidence", "p3_tokens") for r in got[n]} <= roots

@@ -1,5 +1,7 @@
 import json
 
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -45,3 +47,17 @@ def test_frame(spark):
     got = sorted(map(tuple, packed.packed_items(df).collect()), key=str)
     assert got == [(1, "iso_27001_v2022", 1, "x"), (1, "nist_csf_v2_0", 1, "a"), (1, "nist_csf_v2_0", 2, "b"), (None, "cis_csc_v8_1", 1, "q")]
     assert packed.packed_items(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cell", ["(" * 1_000_000, '"' * 100_001, 'a"' * 300_000, "([{" * 200_000 + ")" * 200_000, '""' * 100_000 + '"a;b', ' "' * 300_000])
+def test_a_broken_cell_takes_time_with_its_length(cell):
+    began = time.perf_counter()
+    assert packed.split_cell(cell)
+    assert time.perf_counter() - began < 5
+
+
+def test_what_is_not_closed_is_plain():
+    assert packed.split_cell("a (b; c) (d; e [f; g) h") == ["a (b; c) (d; e [f; g) h"]
+    assert packed.split_cell("a (b; c [d; e) f; g") == ["a (b; c [d; e) f", "g"]
+    assert packed.split_cell('a; "b; c') == ["a", '"b', "c"]
+    assert packed.split_cell("a]; b (c; d]; e") == ["a]", "b (c", "d]", "e"]
