@@ -7,6 +7,8 @@ as the input, equal inputs give equal outputs, and the key's holder can invert i
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from datetime import date, timedelta
 from functools import lru_cache
 from hashlib import blake2b
@@ -80,6 +82,90 @@ def permute_date(day: date, key: bytes, inverse: bool = False) -> date:
             return _FIRST_DAY + timedelta(days=at)
 
 
+# -- identity numbers: validated, and as valid after as before ---------------------------------
+
+# The check letters of Spanish identity numbers, by remainder.
+_CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _spanish_letter(text: str) -> str:
+    return _CHECK_LETTERS[int(text[:-1].replace("X", "0", 1).replace("Y", "1", 1).replace("Z", "2", 1)) % 23]
+
+
+def _german_digit(digits: str) -> str:
+    """Check digit of a tax number (ISO 7064, modulus 11, 10)."""
+    product = 10
+    for c in digits[:-1]:
+        total = (int(c) + product) % 10 or 10
+        product = total * 2 % 11
+    return str((11 - product) % 10)
+
+
+def _social_security(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+#: (form, check): ``check`` gives the last character that a number must have, or says whether
+#: its digits are in range.
+_FORMS: list[tuple[re.Pattern, Callable[[str], str | bool]]] = [
+    (re.compile(r"[XYZ]\d{7}[A-Z]|\d{8}[A-Z]"), _spanish_letter),
+    (re.compile(r"\d{11}"), _german_digit),
+    (re.compile(r"\d{9}"), _social_security),
+]
+_SEPARATORS = re.compile(r"[ ./-]")
+
+
+def is_valid(text: str) -> bool | None:
+    """Whether a number meets the check of its form; None for forms without one."""
+    bare = _SEPARATORS.sub("", text)
+    for form, check in _FORMS:
+        if form.fullmatch(bare):
+            held = check(bare)
+            return held if isinstance(held, bool) else held == bare[-1]
+    return None
+
+
+@lru_cache(maxsize=1 << 16)
+def permute_identifier(text: str, key: bytes, inverse: bool = False) -> str:
+    """Permutes an identity number within its form and within its class: a valid number becomes a
+    valid one, an invalid one stays invalid.
+
+    A check character is no part of a valid number's payload: the payload is permuted, the first letter
+    of its own small alphabet stays, and the check character is made anew. In the other classes
+    the permutation is walked until the class is met again.
+    """
+    valid = is_valid(text)
+    bare = _SEPARATORS.sub("", text)
+    if valid and len(bare) != 9 or valid and bare[-1] in _LETTERS:
+        at = max(i for i, c in enumerate(text) if c in _DIGITS or c in _LETTERS)
+        head = text[:at]
+        lead = 1 if head[:1] in _LETTERS else 0
+        moved = head[:lead] + permute_number(head[lead:], key, 0, inverse)
+        for form, check in _FORMS:
+            if form.fullmatch(_SEPARATORS.sub("", moved) + bare[-1]):
+                return moved + str(check(_SEPARATORS.sub("", moved) + bare[-1])) + text[at + 1 :]
+    out = text
+    while True:
+        out = permute_number(out, key, 0, inverse)
+        if is_valid(out) == valid:
+            return out
+
+
+_WRITTEN = re.compile(r"(\d{4})-(\d\d)-(\d\d)|(\d{1,2})/(\d{1,2})/(\d{4})|(\d{1,2})\.(\d{1,2})\.(\d{4})")
+
+
+def permute_written_date(text: str, key: bytes, inverse: bool = False) -> str:
+    """A date in the form it is written in (slashes: month first, dots: day first), permuted as
+    ``permute_date`` does; what is no date is permuted digit by digit."""
+    m = _WRITTEN.fullmatch(text)
+    try:
+        y, mo, d = (m[1], m[2], m[3]) if m[1] else (m[6], m[4], m[5]) if m[4] else (m[9], m[8], m[7])  # type: ignore[index]
+        day = permute_date(date(int(y), int(mo), int(d)), key, inverse)
+    except (TypeError, ValueError):
+        return permute_number(text, key, 0, inverse)
+    return day.isoformat() if m[1] else f"{day.month:02d}/{day.day:02d}/{day.year}" if m[4] else f"{day.day:02d}.{day.month:02d}.{day.year}"  # type: ignore[index]
+
+
 @lru_cache(maxsize=1 << 16)
 def code(text: str, key: bytes) -> str:
     """An eight-letter keyed code for values without a numeric format."""

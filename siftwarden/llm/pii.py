@@ -1,11 +1,12 @@
 """Personal information inside free text: found, typed and replaced.
 
 One pass of an Aho-Corasick automaton over a whole batch finds the places worth a look (labels
-and titles in five languages, at-signs and their disguises, names of a reference list); small
-anchored patterns then decide there. Phone numbers in written form need no label and have a
-pattern of their own. Values are replaced by typed placeholders whose pseudonym is keyed:
-numbers are permuted within their own format by a Feistel network, others get a keyed code.
-Equal values therefore stay linked over documents, partitions and runs.
+and titles in several languages, given names, at-signs and their disguises, names of a reference
+list); small anchored patterns then decide there. Phone numbers in written form need no label and
+have a pattern of their own. Values are replaced by typed placeholders whose pseudonym is keyed:
+numbers and birth dates are validated and permuted within their own format by a Feistel network,
+others get a keyed code. Equal values therefore stay linked over documents, partitions and, with the same key,
+runs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from siftwarden.llm import feistel
 FOUND_SCHEMA = "table_name string, row_id bigint, pii_type string, pii_text string"
 TEXT_SCHEMA = "table_name string, row_id bigint, redacted string, n_found int"
 NAME, EMAIL, PHONE, ID, ADDRESS = "name", "email", "phone", "id_number", "street_address"
-DEFAULT_KEY = b"change-this-key"
+BIRTH_DATE = "birth_date"
 
 # Words that announce a person, in en, de, fr, es.
 TITLES = ("mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "mr ", "mrs ", "herr ", "frau ", "mme ", "mlle ", "monsieur ", "madame ", "señor ", "señora ", "sr. ", "sra. ", "don ", "doña ")
@@ -39,6 +40,17 @@ ID_LABELS = (
     "national id", "nie", "dni", "nif", "driver licence", "driver license", "driver's licence", "driver's license", "driving licence", "führerschein", "dl#", "dl ", "steuer-id", "steuernummer", "tax id", "tax number", "personalausweis", "krankenaktennummer", "expediente", "permis de conduire", "numéro fiscal",
 )
 ADDRESS_LABELS = ("adresse ", "adresse: ", "domicilio ", "domicilio: ", "wohnhaft ", "wohnhaft in ", "home address ", "home address: ", "lives at ", "ships to ", "addr: ", "addr=", "address: ", "address ", "anschrift ", "anschrift: ", "device returned from ", "returned from ", "dirección ", "dirección: ", "demeurant ", "habite ", "vive en ", "wohnt ", "resides at ")
+BIRTH_LABELS = ("date of birth ", "date of birth: ", "dob ", "dob: ", "dob=", "born on ", "geboren am ", "geburtsdatum ", "geburtsdatum: ", "né le ", "née le ", "date de naissance ", "date de naissance: ", "fecha de nacimiento ", "fecha de nacimiento: ", "nacido el ", "nacida el ")
+# Frequent given names that are hardly words of their own, in several languages.
+GIVEN_NAMES = """alejandro alexander alice amanda amelia andrea andreas angela anna antonio barbara beatriz benjamin bernd brigitte camille carlos carmen caroline catherine cécile
+charlotte chiara christian christina christine christoph claire claudia daniel david diego dmitri dominik eduardo elena elizabeth emily emma enrique erik eva fabian fatima felipe fernando
+florian françois françoise gabriel gabriela georg george giovanni giulia gonzalo guillaume hannah hans heike heinrich helena helmut ibrahim ingrid isabel isabella ivan jacob jacques james jan jana jean
+jennifer jessica joan johann johanna john jonas jorge josé joseph juan julia julien jürgen karin karl katharina katherine kevin klaus kristina laura lena leonardo lisa louise lucas lucía ludwig
+luis magdalena manuel marcel marco margaret maria maría marie mario markus marta martin martina mateo matthew matthias michael michel miguel mohamed monika natalia nathalie nicolas nicole
+oliver olivia pablo pascal patricia paul paula peter petra philipp philippe pierre rafael ralf raquel rebecca renate ricardo richard robert roberto sabine samuel sandra santiago sarah
+sebastian sergio simone sofia sophie stefan stefanie stephen susan susanne teresa thérèse thomas timothy ulrich ursula valentina vanessa véronique victoria vincent walter werner william wolfgang yasmin yvonne""".split()
+NO_FAMILY = """server service cluster node database db street road avenue university hospital clinic bank group team systems software labs corp inc ltd gmbh january february march april may june july
+august september october november december monday tuesday wednesday thursday friday saturday sunday error warning info debug failed was is has and or the""".split()
 AT_SIGNS = ("@", "%40", "[at]", "(at)", "{at}", "<at>")
 
 _UP = "A-ZÀ-ÖØ-ÞĀŁŚŠŽŐŰ"
@@ -68,21 +80,23 @@ _ADDRESS = re.compile(
 
 
 class Finder:
-    """Finds personal information in a batch of texts. ``roster``: (given, family) names."""
+    """Finds personal information in a batch of texts. ``roster``: (given, family) names.
 
-    def __init__(self, roster: Iterable[tuple[str | None, str | None]] = ()) -> None:
+    ``open_names``: a capitalised word after or before a given part is a candidate for a list
+    that is elsewhere; candidates come out with the type ``CANDIDATE``.
+    """
+
+    def __init__(self, roster: Iterable[tuple[str | None, str | None]] = (), open_names: bool = False) -> None:
         import ahocorasick
 
         found: dict[str, set[str]] = {}
-        for kind, words in ((NAME, TITLES + NAME_LABELS), (PHONE, PHONE_LABELS), (ID, ID_LABELS), (ADDRESS, ADDRESS_LABELS), (EMAIL, AT_SIGNS)):
+        for kind, words in ((NAME, TITLES + NAME_LABELS), (PHONE, PHONE_LABELS), (ID, ID_LABELS), (ADDRESS, ADDRESS_LABELS), (EMAIL, AT_SIGNS), (BIRTH_DATE, BIRTH_LABELS), ("given", tuple(g + " " for g in GIVEN_NAMES))):
             for w in words:
                 found.setdefault(w, set()).add(kind)
-        self.families: set[str] = set()
         for _, family in roster:
-            if family and len(family.strip()) > 3:
-                word = family.strip().lower()
-                self.families.add(word)
-                found.setdefault(word, set()).add("roster")
+            if family and family.strip():
+                found.setdefault(family.strip().lower(), set()).add("roster")
+        self.open_names = open_names
         self.automaton = ahocorasick.Automaton()
         for w, kinds in found.items():
             self.automaton.add_word(w, (len(w), tuple(sorted(kinds))))
@@ -117,12 +131,21 @@ class Finder:
                 elif kind == ADDRESS:
                     if m := _ADDRESS.match(joined, end):
                         out.append((m.start(), m.end(), ADDRESS))
-                elif joined[start : start + 1].isupper() and not joined[end : end + 1].isalnum():
+                elif kind == BIRTH_DATE:
+                    if m := _BIRTH.match(joined, end):
+                        out.append((m.start(), m.end(), BIRTH_DATE))
+                elif not joined[start : start + 1].isupper():
+                    continue
+                elif kind == "given":
+                    if (m := _FAMILY_AFTER.match(joined, end)) and m[1].lower() not in NO_FAMILY and not _NO_NAME.search(m[0]):
+                        out.append((start, m.end(), NAME))
+                elif not joined[end : end + 1].isalnum():
                     if span := self._listed(joined, start, end):
                         out.append(span)
         for pattern in (_PHONE_US, _PHONE_INTL):
             out += [(m.start(), m.end(), PHONE) for m in pattern.finditer(joined)]
-        return _settle(out)
+        settled = _settle(out)
+        return settled if not self.open_names else self._with_candidates(joined, settled)
 
     def _listed(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
         """The full name around a listed family name; a family name alone is no person."""
@@ -133,7 +156,23 @@ class Finder:
             return start, after.end(), NAME
         return None
 
+    def _with_candidates(self, text: str, settled: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Adds every place that would be a name if its family were listed, unless it overlaps."""
+        out, starts = list(settled), [s for s, _, _ in settled]
+        for m in _CAPITAL.finditer(text):
+            if span := self._listed(text, m.start(), m.end()):
+                k = bisect_right(starts, span[0])
+                if (k and settled[k - 1][1] > span[0]) or (k < len(settled) and settled[k][0] < span[1]):
+                    continue
+                out.append((span[0], span[1], f"{CANDIDATE}{m[0].lower()}"))
+        return out
+
 
+#: Type of a candidate, before its family name.
+CANDIDATE = "?"
+_CAPITAL = re.compile(rf"(?<![\w]){_N}(?!\w)")
+_FAMILY_AFTER = re.compile(rf"(?:[{_UP}]\. )?({_N})(?![\w@])")
+_BIRTH = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w)")
 _GIVEN_BEFORE = re.compile(rf"(?<![\w.])({_N} (?:[{_UP}]\. )?|[{_UP}]\. )$")
 _GIVEN_AFTER = re.compile(rf", {_N}(?: [{_UP}]\.(?!\w))?(?!\w)")
 _NO_NAME = re.compile(r"\d")
@@ -142,7 +181,7 @@ _COMMON = {x + " " for x in "the herr frau mme mr dr ms mrs von der die das el l
 
 def _settle(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Drops overlaps: the kind that is told by more context wins, then the longer span."""
-    rank = {EMAIL: 0, ADDRESS: 1, ID: 2, PHONE: 3, NAME: 4}
+    rank = {EMAIL: 0, ADDRESS: 1, ID: 2, BIRTH_DATE: 3, PHONE: 4, NAME: 5}
     kept: list[tuple[int, int, str]] = []
     by_start = sorted(set(spans), key=lambda s: (rank[s[2]], s[0] - s[1], s[0]))
     taken: list[tuple[int, int]] = []
@@ -162,7 +201,9 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
         keep = len(re.sub(r"\D", "", m[0])) if m else 0
         return f"{{PHONE_{feistel.permute_number(value, key, keep)}}}"
     if kind == ID:
-        return f"{{ID_{feistel.permute_number(value, key)}}}"
+        return f"{{ID_{feistel.permute_identifier(value, key)}}}"
+    if kind == BIRTH_DATE:
+        return f"{{BIRTH_DATE_{feistel.permute_written_date(value, key)}}}"
     plain = re.sub(r"\s+", " ", value).strip().lower()
     if kind == EMAIL:
         plain = re.sub(r" ?(?:\[at\]|\(at\)|\{at\}|<at>|%40|@) ?", "@", plain)
@@ -205,21 +246,31 @@ def find_batch(finder: Finder, texts: list[str | None]) -> Iterator[tuple[int, i
             yield rows[k], s - starts[k], e - starts[k], kind, joined[s:e]
 
 
-def _find(roster: tuple):
+_HELD: list = []
+
+
+def _finder(roster, open_names: bool = False) -> Finder:
+    """The automaton of a broadcast list, built once per worker process."""
+    if not _HELD or _HELD[0] != (roster.value, open_names):
+        _HELD[:] = [(roster.value, open_names), Finder(roster.value, open_names)]
+    return _HELD[1]
+
+
+def _find(roster, open_names: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(roster)
+        finder = _finder(roster, open_names)
         for batch in batches:
             tables, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            once = dict.fromkeys((tables[r], ids[r], kind, value) for r, _, _, kind, value in find_batch(finder, batch.column(2).to_pylist()))
+            once = dict.fromkeys((tables[r], ids[r], kind, value) for r, _, _, kind, value in find_batch(finder, batch.column(2).to_pylist()) if kind != BIRTH_DATE)
             columns = list(zip(*once, strict=True)) if once else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["table_name", "row_id", "pii_type", "pii_text"])
 
     return run
 
 
-def _redact(roster: tuple, key: bytes):
+def _redact(roster, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(roster)
+        finder = _finder(roster)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             parts: dict[int, list[str]] = {}
@@ -236,27 +287,46 @@ def _redact(roster: tuple, key: bytes):
     return run
 
 
-def roster_names(roster: DataFrame, most: int = 200_000) -> tuple:
-    """(given, family) pairs of a reference list, at most ``most`` (else an error).
+#: Names of a reference list that go to every task; longer lists are joined.
+MOST_NAMES = 200_000
 
-    The list goes to every task, so its size is checked instead of trusted.
-    """
+
+def roster_names(roster: DataFrame, most: int = MOST_NAMES) -> tuple | None:
+    """(given, family) pairs of a reference list, or None if it has more than ``most``: then it
+    does not go to every task, see ``find_pii``."""
     names = tuple((r[0], r[1]) for r in roster.select("given_name", "family_name").distinct().limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"the reference list has more than {most} names; raise the bound or split the list")
-    return names
+    return names if len(names) <= most else None
 
 
 def _texts(df: DataFrame, table: str, key: str, text: str) -> DataFrame:
     return df.select(F.lit(table).alias("table_name"), F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("text"))
 
 
-def find_pii(df: DataFrame, table: str, key: str, text: str, roster: tuple = ()) -> DataFrame:
+def find_pii(df: DataFrame, table: str, key: str, text: str, roster: tuple = (), families: DataFrame | None = None) -> DataFrame:
     """FOUND_SCHEMA, each value once per row key. Null, empty and blank texts have none; null
-    keys stay null; other columns are ignored whatever their names."""
-    return _texts(df, table, key, text).where("length(text) > 0").mapInArrow(_find(roster), FOUND_SCHEMA)
+    keys stay null; other columns are ignored whatever their names.
 
+    ``roster``: (given, family) pairs that are sent to every task. ``families``: a reference list
+    of any length instead, as a frame with ``family_name``; names that would count if they were listed are joined
+    with it, and where two listed names overlap both come out.
+    """
+    context = df.sparkSession.sparkContext
+    texts = _texts(df, table, key, text).where("length(text) > 0")
+    if families is None:
+        return texts.mapInArrow(_find(context.broadcast(tuple(roster))), FOUND_SCHEMA)
+    found = texts.mapInArrow(_find(context.broadcast(()), True), FOUND_SCHEMA)
+    listed = families.select(F.lower(F.trim("family_name")).alias("_family")).where("_family <> ''").distinct()
+    is_candidate = F.col("pii_type").startswith(CANDIDATE)
+    named = found.where(is_candidate).withColumn("_family", F.substring("pii_type", len(CANDIDATE) + 1, 1 << 30)).join(listed, "_family", "left_semi")
+    return found.where(~is_candidate).unionByName(named.select("table_name", "row_id", F.lit(NAME).alias("pii_type"), "pii_text"))
 
-def redact(df: DataFrame, table: str, key: str, text: str, roster: tuple = (), pseudonym_key: bytes = DEFAULT_KEY) -> DataFrame:
-    """TEXT_SCHEMA, one row per input row: the text with typed placeholders, all else unchanged."""
-    return _texts(df, table, key, text).mapInArrow(_redact(roster, pseudonym_key), TEXT_SCHEMA)
+
+def redact(df: DataFrame, table: str, key: str, text: str, pseudonym_key: bytes, roster: tuple = ()) -> DataFrame:
+    """TEXT_SCHEMA, one row per input row: the text with typed placeholders, all else unchanged.
+
+    ``pseudonym_key``: who has it can link and, for numbers and dates, invert; it has no default.
+    """
+    if not pseudonym_key:
+        raise ValueError("a pseudonym key is needed")
+    context = df.sparkSession.sparkContext
+    return _texts(df, table, key, text).mapInArrow(_redact(context.broadcast(tuple(roster)), pseudonym_key), TEXT_SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +15,35 @@ def _pii_sources(spark: SparkSession, folder: str) -> list[tuple]:
     return [(table(spark, folder, "analyze_request", spread=True), "analyze_request", "request_id", "raw_log"), (table(spark, folder, "agent_results", spread=True), "agent_results", "result_id", "prompt")]
 
 
-def _roster(spark: SparkSession, folder: str) -> tuple:
-    return pii.roster_names(table(spark, folder, "staff_roster"))
+def _listed(spark: SparkSession, folder: str) -> dict:
+    """The reference list: to every task while it is short, joined beyond that."""
+    roster = table(spark, folder, "staff_roster")
+    names = pii.roster_names(roster)
+    return {"roster": names} if names is not None else {"families": roster}
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information by table, row, type and value, once each."""
-    a, b = (pii.find_pii(*s, roster=_roster(spark, folder)) for s in _pii_sources(spark, folder))
+    listed = _listed(spark, folder)
+    a, b = (pii.find_pii(*s, **listed) for s in _pii_sources(spark, folder))
     return a.unionByName(b).distinct()
 
 
+_KEYS: dict[str, bytes] = {}
+
+
+def _pseudonym_key(spark: SparkSession) -> bytes:
+    """The session's ``siftwarden.pseudonym.key``; without one, a random key of the application."""
+    given = spark.conf.get("siftwarden.pseudonym.key", "")
+    return given.encode() if given else _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The texts with typed, linked placeholders."""
-    key = spark.conf.get("siftwarden.pseudonym.key", "").encode() or pii.DEFAULT_KEY
-    a, b = (pii.redact(*s, roster=_roster(spark, folder), pseudonym_key=key) for s in _pii_sources(spark, folder))
+    key, names = _pseudonym_key(spark), pii.roster_names(table(spark, folder, "staff_roster"))
+    if names is None:
+        raise ValueError(f"redaction takes reference lists of at most {pii.MOST_NAMES} names")
+    a, b = (pii.redact(*s, pseudonym_key=key, roster=names) for s in _pii_sources(spark, folder))
     return a.unionByName(b)
 
 

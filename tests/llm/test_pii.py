@@ -81,8 +81,51 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, "tel 702 555 0107, 702 555 0107", 1), (1, "tel 702 555 0107, 702 555 0107", 1), (2, None, 1), (None, "mail a@b.test", 1)], "k bigint, t string, text int")
     got = sorted(map(tuple, pii.find_pii(df, "x", "k", "t", ROSTER).distinct().collect()), key=str)
     assert got == [("x", 1, "phone", "702 555 0107"), ("x", None, "email", "a@b.test")]
-    out = pii.redact(df, "x", "k", "t", ROSTER).collect()
+    out = pii.redact(df, "x", "k", "t", b"key", ROSTER).collect()
     assert len(out) == 4 and out[0].n_found == 2 and "702 555 0107" not in out[0].redacted and out[0].redacted.startswith("tel {PHONE_") and out[2].redacted is None
     assert pii.find_pii(df.limit(0), "x", "k", "t").count() == 0
     with pytest.raises(ValueError):
-        pii.roster_names(spark.createDataFrame([("a", "b"), ("c", "d")], "given_name string, family_name string"), most=1)
+        pii.redact(df, "x", "k", "t", b"")
+    assert pii.roster_names(spark.createDataFrame([("a", "b"), ("c", "d")], "given_name string, family_name string"), most=1) is None
+
+
+def test_a_list_of_any_length_is_joined(spark):
+    texts = ["login by Anna Lee on host", "LEE, ANNA and Hiobri Thibrimann; spoke with Ann Moritz", "mail anna.lee@b.test to Service Lee", "Bo Unlisted"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    roster = (*ROSTER, ("Anna", "Lee"), (None, None), ("", " "))
+    families = spark.createDataFrame([("x", *r) for r in roster], "unit string, given_name string, family_name string")
+    sent = sorted(map(tuple, pii.find_pii(df, "x", "k", "t", roster).collect()))
+    assert sorted(map(tuple, pii.find_pii(df, "x", "k", "t", families=families).distinct().collect())) == sent
+    assert ("x", 0, "name", "Anna Lee") in sent and ("x", 1, "name", "LEE, ANNA") in sent and not any(r[1] == 3 for r in sent)
+
+
+def test_names_without_label_or_list():
+    assert found("user Maria Gonzalez logged in, then JAMES T. HOLLOWAY") == [("name", "Maria Gonzalez"), ("name", "JAMES T. HOLLOWAY")]
+    assert found("Victoria Street closed; maria gonzalez; Jan January; Robert's rules; daniel@x") == []
+
+
+def test_short_families_are_listed():
+    finder = pii.Finder((("Anna", "Lee"), ("Wei", "Ng"), ("No", None)))
+    assert [v for *_, v in pii.find_batch(finder, ["login by Anna Lee on host; Ng, Wei; Wei Ng; the Lee side; Leeds"])] == ["Anna Lee", "Ng, Wei", "Wei Ng"]
+
+
+@pytest.mark.parametrize("value", ["12345678Z", "X1234567L", "86095742719", "86 095 742 719", "123-45-6789"])
+def test_valid_numbers_stay_valid_and_come_back(value):
+    assert feistel.is_valid(value)
+    out = feistel.permute_identifier(value, b"k")
+    assert out != value and feistel.is_valid(out) and [c.isdigit() for c in out] == [c.isdigit() for c in value]
+    assert feistel.permute_identifier(out, b"k", inverse=True) == value
+
+
+@given(st.from_regex(r"[XYZ]?[0-9]{7,8}[A-Z]|[0-9]{11}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z][0-9]{3}-[0-9]{4}", fullmatch=True))
+def test_numbers_keep_their_class(value):
+    out = feistel.permute_identifier(value, b"k")
+    assert feistel.is_valid(out) == feistel.is_valid(value) and feistel.permute_identifier(out, b"k", inverse=True) == value
+
+
+def test_birth_dates_are_permuted_in_their_form():
+    for written in ("1984-02-29", "02/29/1984", "29.02.1984"):
+        out = feistel.permute_written_date(written, b"k")
+        assert out != written and feistel.permute_written_date(out, b"k", inverse=True) == written
+    assert feistel.permute_written_date("99.99.1984", b"k") != "99.99.1984"
+    assert found("geboren am 03.04.1980 in X, released on 03.04.2020") == [("birth_date", "03.04.1980")]
