@@ -53,10 +53,12 @@ def _scalar(text: str, at: int) -> tuple[object, int]:
     return (float if m[1] or m[2] else int)(m[0]), m.end()
 
 
-def _read(text: str, at: int) -> tuple[object, int]:
+def _read(text: str, at: int, starts: list[int] | None = None, done: list[int] | None = None) -> tuple[object, int]:
+    """``starts`` and ``done`` take up where objects and lists begin that are open or complete."""
     blank = _BLANK.match
     stack: list[list | dict] = []
     names: list[str | None] = []
+    starts = [] if starts is None else starts
 
     def name(at: int) -> tuple[str, int]:
         if text[at : at + 1] != '"':
@@ -71,6 +73,7 @@ def _read(text: str, at: int) -> tuple[object, int]:
         c = text[at : at + 1]
         if c in ("{", "["):
             held: list | dict = {} if c == "{" else []
+            starts.append(at)
             at = blank(text, at + 1).end()  # type: ignore[union-attr]
             if text[at : at + 1] != ("}" if c == "{" else "]"):
                 stack.append(held)
@@ -81,6 +84,9 @@ def _read(text: str, at: int) -> tuple[object, int]:
                 continue
             value: object = held
             at += 1
+            begun = starts.pop()
+            if done is not None:
+                done.append(begun)
         else:
             value, at = _scalar(text, at)
         while stack:
@@ -101,10 +107,36 @@ def _read(text: str, at: int) -> tuple[object, int]:
             at += 1
             value = stack.pop()
             names.pop()
+            begun = starts.pop()
+            if done is not None:
+                done.append(begun)
         else:
             return value, at
 
 
+def first_object(text: str) -> tuple[int, int] | None:
+    """Where the first complete object of a text begins and ends. An object that fails is not
+    tried again from those that were open inside it, as they fail at the same place."""
+    at = text.find("{")
+    failed: set[int] = set()
+    while at >= 0:
+        if at not in failed:
+            try:
+                return at, _DECODER.raw_decode(text, at)[1]
+            except (ValueError, RecursionError):
+                starts: list[int] = []
+                done: list[int] = []
+                try:
+                    return at, _read(text, at, starts, done)[1]
+                except ValueError:
+                    failed.update(starts)
+                    inside = [x for x in done if text[x] == "{"]
+                    if inside:
+                        return min(inside), _read(text, min(inside))[1]
+        at = text.find("{", at + 1)
+    return None
+
+
 def dumps(value: object) -> str:
     """Compact JSON text of a value, not limited to ASCII."""
     try:

@@ -48,3 +48,30 @@ def test_depth_is_no_limit(head, tail):
         deepjson.loads(text + "1")
     while value != 1:  # taken apart from the outside, so that no destructor recurses
         value = value["a"] if isinstance(value, dict) else value[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text('{}[]:,"a1 ', max_size=24))
+def test_first_object_against_trying_every_place(text):
+    def brute():
+        for i, c in enumerate(text):
+            if c == "{":
+                try:
+                    return i, json.JSONDecoder().raw_decode(text, i)[1]
+                except ValueError:
+                    pass
+        return None
+
+    got, want = deepjson.first_object(text), brute()
+    assert (got is None) == (want is None)
+    if got:
+        assert json.loads(text[got[0] : got[1]]) is not None and got[0] >= want[0]
+
+
+def test_first_object_takes_time_with_the_length():
+    began = time.perf_counter()
+    assert deepjson.first_object('{"a":' * 200_000) is None
+    assert deepjson.first_object('{"a":' * 200_000 + "x") is None
+    assert deepjson.first_object("{" * 200_000) is None
+    assert deepjson.first_object('see {x} {"a": {"b": 1}, "c') == (14, 22)
+    assert time.perf_counter() - began < 10
