@@ -10,7 +10,6 @@ of the instruction. The parser's error column is no evidence and is not read.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwarden.functions import deepjson
+
 DEFECT_SCHEMA = "result_id bigint, defect string"
 EMPTY, COPY, REFUSAL, TRUNCATED, OTHER = "empty", "copy", "refusal", "truncated", "other_language"
 
@@ -58,8 +59,8 @@ def parsed(body: str) -> object:
     value: object = body
     while isinstance(value, str) and value[:1] in ("{", "[", '"') or value == "null":
         try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
+            value = deepjson.loads(value)
+        except ValueError:
             return _BAD if value is body else value
     return _BAD if value is body else value
 
@@ -160,21 +161,11 @@ def copied_shares(prompt: str, answer: str, finding: tuple[int, int] | None = No
     return _covered(there, 0, len(answer)) / len(answer), _covered(here, 0, len(prompt)) / len(prompt), whole
 
 
-def _finding_span(prompt: str) -> tuple[int, int] | None:
-    """The first complete JSON object of a text."""
-    start = prompt.find("{")
-    while start >= 0:
-        try:
-            return start, json.JSONDecoder().raw_decode(prompt, start)[1]
-        except (ValueError, RecursionError):
-            start = prompt.find("{", start + 1)
-    return None
-
-
 def is_copy(prompt: str, variants: list[str], share: float = 0.9) -> bool:
     """True if the prompt, or its whole finding, is given back in one of the variants.
 
-    An answer shorter than that share gives neither back. Then a cheap bound comes first. A run
+    A prompt of fewer than ``LEAST`` characters must make up that share of the answer. An answer
+    shorter than that share of the prompt gives neither back. Then a cheap bound comes first. A run
     of ``LEAST`` or more characters holds aligned blocks of half that length, one for every
     ``_A_BLOCK`` characters at least. Of the runs that cover a part of the prompt, some cover it
     with no place in more than two of them. So, of the prompt's aligned blocks, the answer has
@@ -184,8 +175,13 @@ def is_copy(prompt: str, variants: list[str], share: float = 0.9) -> bool:
     half = LEAST // 2
     for variant in variants:
         answer = _bare(variant)
+        if len(bare) < LEAST:
+            # Too short for runs: the answer is the prompt and hardly anything else.
+            if bare in answer and len(bare) >= share * len(answer):
+                return True
+            continue
         span = None
-        if (cut := _finding_span(prompt)) and cut[1] - cut[0] > LEAST:
+        if (cut := deepjson.first_object(prompt)) and cut[1] - cut[0] > LEAST:
             head = len(_bare(prompt[: cut[0]]))
             span = (head, head + len(_bare(prompt[cut[0] : cut[1]])))
         must = share * min(len(bare), span[1] - span[0] if span else len(bare))
@@ -286,7 +282,7 @@ DIRECTIVES = {"en": r"\bin english\b|\bauf englisch\b|\ben anglais\b|\ben inglé
 _DIRECTIVES = [(lang, re.compile(p, re.I)) for lang, p in DIRECTIVES.items()]
 
 
-_CODED = re.compile(r"\S*[\d_@]\S*")
+_CODED = re.compile(r"[\d_@]")
 _LETTER_VOTES = {c: [lang for lang, cs in LETTERS.items() if c in cs] for cs in LETTERS.values() for c in cs}
 _MARKED = re.compile("[" + "".join(_LETTER_VOTES) + "]")
 _SCRIPTS = [("ru", re.compile("[\u0400-\u04ff]")), ("el", re.compile("[\u0370-\u03ff]")), ("ko", re.compile("[\uac00-\ud7af]")), ("ar", re.compile("[\u0600-\u06ff]")), ("he", re.compile("[\u0590-\u05ff]"))]
@@ -294,7 +290,9 @@ _SCRIPTS = [("ru", re.compile("[\u0400-\u04ff]")), ("el", re.compile("[\u0370-\u
 
 def votes(text: str) -> dict[str, float]:
     """Votes per language; a word or letter of several languages is shared between them."""
-    low = _CODED.sub(" ", text.lower())
+    low = text.lower()
+    if _CODED.search(low):
+        low = " ".join(w for w in low.split() if not _CODED.search(w))
     out = dict.fromkeys(STOPWORDS, 0.0)
     for w in _WORD.findall(low):
         if w in _VOTES:
@@ -360,7 +358,7 @@ def defect(prompt: str, raw: str | None) -> str | None:
     if value is not _BAD and not any(map(_has_content, leaves)):
         return EMPTY
     texts = [x for x in leaves if isinstance(x, str) and _is_prose(x)] if value is not _BAD else [body]
-    if is_copy(prompt, [body, *(x for x in texts if x is not body and len(x) > 2 * LEAST)]):
+    if is_copy(prompt, [body, *(x for x in texts if x is not body)]):
         return COPY
     prose = " ".join(texts)
     if value is _BAD and body[:1] in ("{", "["):

@@ -91,3 +91,16 @@ def test_bound_of_copies_drops_no_case():
     for size in range(24, 60):
         spoilt = "-".join(prompt[i : i + size] for i in range(rng.randrange(12), len(prompt), size))
         assert pairs.is_copy(prompt, [spoilt]) == (max(pairs.copied_shares(prompt, spoilt)[1:]) >= 0.9)
+
+
+def test_short_prompts_can_be_copied():
+    assert pairs.defect("Score this alert.", "Score this alert.") == "copy"
+    assert pairs.defect("Score this alert.", '{"answer": "score this alert."}') == "copy"
+    assert pairs.defect("Score this alert.", "Score this alert: it is high, as two hosts are affected.") is None
+
+
+def test_answers_of_any_depth_are_read():
+    deep = '{"a": ' * 50_000 + '"I cannot help with this request."' + "}" * 50_000
+    assert pairs.defect(PROMPT, deep) == "refusal"
+    assert pairs.defect(PROMPT, '{"a": ' * 50_000 + "{}" + "}" * 50_000) == "empty"
+    assert pairs.defect("Answer in English. " + '{"a":' * 50_000, GOOD) is None
