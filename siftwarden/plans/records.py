@@ -20,9 +20,10 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_entries(spark: SparkSession, folder: str) -> DataFrame:
-    """Log entries with message and template."""
-    requests = logparse.log_entries(table(spark, folder, "analyze_request", spread=True), "analyze_request", "request_id", "raw_log")
-    return requests.unionByName(logparse.log_entries(table(spark, folder, "gold_set"), "gold_set", "id", "raw"))
+    """Log entries with message and template, by the templates of both tables."""
+    requests, gold = table(spark, folder, "analyze_request", spread=True), table(spark, folder, "gold_set")
+    tree = logparse.learned(requests.select(F.col("raw_log").alias("text")), gold.select(F.col("raw").alias("text")))
+    return logparse.log_entries(requests, "analyze_request", "request_id", "raw_log", tree).unionByName(logparse.log_entries(gold, "gold_set", "id", "raw", tree))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -88,7 +89,57 @@ def test_result_does_not_depend_on_lines_seen_before():
     for _ in range(300):
         line = rng.choice(lines)
         assert logparse.parse(line, tree) == logparse.parse(line)
-    assert any("<*>" in t for ts in tree.leaves.values() for t in ts)
+    assert not tree.counts
+
+
+PROGRAMS = [
+    ('2025/01/02 03:04:05 [error] 31#31: *1 open() "/x" failed, client: 10.0.0.1', ("2025-01-02T03:04:05", "error", "", '*1 open() "/x" failed, client: 10.0.0.1')),
+    ('10.0.0.1 - frank [10/Oct/2025:13:55:36 -0700] "GET /a HTTP/1.1" 200 2326', ("2025-10-10T20:55:36", "", "", '"GET /a HTTP/1.1" 200 2326')),
+    ("01-02 03:04:05.678  1234  5678 I ActivityManager: Start proc", ("--01-02T03:04:05", "info", "ActivityManager", "Start proc")),
+    ("W/Zygote( 123): slow", ("", "warn", "Zygote", "slow")),
+    ("INFO:root:started", ("", "info", "root", "started")),
+    ("2025-01-02T03:04:05Z app[12]: m", ("2025-01-02T03:04:05", "", "app", "m")),
+    ("[2025-01-02T03:04:05Z] app.ERROR: m", ("2025-01-02T03:04:05", "error", "app", "m")),
+    ("Jan  2 03:04:05 2025 app: m", ("--01-02T03:04:05", "", "app", "m")),
+    ("[Wed Jan 01 13:18:04 2025] [core:warn] [pid 4] [client 10.0.0.1:80] retry: x", ("2025-01-01T13:18:04", "warn", "core", "retry: x")),
+]
+
+
+@pytest.mark.parametrize(("line", "want"), PROGRAMS)
+def test_lines_of_other_programs(line, want):
+    known = "Jan  2 03:04:05 h app: z"
+    assert logparse.parse(line) == [(1, 1, *want)]
+    assert [e[2:5] for e in logparse.parse(f"{known}\n{line}\n more")] == [("--01-02T03:04:05", "", "app"), want[:3]]
+
+
+def test_counts_tell_levels_without_case_or_punctuation():
+    levels = "info error warning info debug".split()
+    often = logparse.parse("\n".join(f"2025-01-02 03:04:05 {levels[i % 5]} line {i}" for i in range(40)))
+    assert {e[3] for e in often} == {"info", "error", "warn", "debug"} and often[1][5] == "line 1"
+    mixed = logparse.parse("\n".join(f"2025-01-02 03:04:05 {'error' if i % 3 else 'reading'} line {i}" for i in range(40)))
+    assert {e[3] for e in mixed} == {""} and mixed[1][5] == "error line 1"
+
+
+def test_leaves_that_agree_up_to_the_message_are_one_template():
+    tree = logparse.TemplateTree()
+    for line in ("2025-01-02 03:04:05 ERROR db: lost", "2025-01-02 03:04:05 INFO db: 5 found", "2025-01-02 03:04:05 INFO web: [x] found", "no header"):
+        for key in logparse.keys_of(line):
+            tree.learn(key)
+    assert len(tree.counts) == 3 and tree.merged() == {"<time> <level> <name> <*>": 3}
+
+
+def test_templates_are_shared_by_all_partitions(spark):
+    rows = [(i, f"2025-01-02 03:04:05 {'info' if i % 2 else 'error'} line {i}", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k bigint, raw string, text int").repartition(40)
+    got = logparse.log_entries(df, "t", "k", "raw").select("entry_level", "template").distinct().collect()
+    assert {tuple(r) for r in got} == {("info", "<time> <weak-level> line <*>"), ("error", "<time> <weak-level> line <*>")}
+
+
+def test_long_lines_take_time_with_their_length():
+    began = time.perf_counter()
+    for line in ("2025-01-02 03:04:05 " + "a" * 500_000, "[" * 300_000, "a." * 200_000, "a=" + "b" * 400_000, "2025-01-02 03:04:05 a=\"" + "\\\"" * 200_000, "Jan  2 03:04:05 " + "h" * 400_000, "{" * 300_000, "9" * 400_000):
+        assert len(logparse.parse(line + "\n" + line)) >= 1
+    assert time.perf_counter() - began < 20
 
 
 def test_frame(spark):
