@@ -67,6 +67,16 @@ def with_status(refs: DataFrame, status: DataFrame, keys: list[str], at: str, he
     return done.unionByName(rest)
 
 
+def _finding_refs(audit: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references: ref_key, ts, ref_id; what is known of each finding: ref_id, found, first_seen,
+    removed)."""
+    refs = audit.select(F.col("id").cast("string").alias("ref_key"), "ts", normal_key(F.col("finding_id")).alias("ref_id"), F.col("event").alias("event")).where("ref_id is not null")
+    targets = findings.select(normal_key(F.col("finding_id")).alias("ref_id"), F.col("created_at").alias("at")).where("ref_id is not null").groupBy("ref_id").agg(F.lit(True).alias("found"), F.min("at").alias("first_seen"))
+    # Tombstones are reduced to distinct keys before they meet the targets.
+    removed = refs.where(F.col("event") == "finding_deleted").groupBy("ref_id").agg(F.lit(True).alias("removed"))
+    return refs.select("ref_key", "ts", "ref_id"), targets.join(removed, "ref_id", "full_outer")
+
+
 def finding_orphans(audit: DataFrame, findings: DataFrame, heavy_rows: int = 50_000, heavy_keys: int = 512) -> DataFrame:
     """Audit rows whose finding is unresolved: ref_key, ref_state, ref_month, one row each.
 
@@ -75,16 +85,34 @@ def finding_orphans(audit: DataFrame, findings: DataFrame, heavy_rows: int = 50_
     Repeated audit rows give one case. Empty tables give no case (without findings, every
     reference is missing or deleted).
     """
-    refs = audit.select(F.col("id").cast("string").alias("ref_key"), "ts", normal_key(F.col("finding_id")).alias("ref_id"), F.col("event").alias("event")).where("ref_id is not null")
-    targets = findings.select(normal_key(F.col("finding_id")).alias("ref_id"), F.col("created_at").alias("at")).where("ref_id is not null").groupBy("ref_id").agg(F.lit(True).alias("found"), F.min("at").alias("first_seen"))
-    # Tombstones are reduced to distinct keys before they meet the targets.
-    removed = refs.where(F.col("event") == "finding_deleted").groupBy("ref_id").agg(F.lit(True).alias("removed"))
-    status = targets.join(removed, "ref_id", "full_outer")
+    refs, status = _finding_refs(audit, findings)
     keyed = with_status(refs.select("ref_key", "ts", "ref_id"), status, ["ref_id"], "ts", heavy_rows, heavy_keys)
     state = F.when(F.col("found"), F.when(F.col("first_seen") > F.col("ts"), LATE)).when(F.col("removed"), DELETED).otherwise(MISSING)
     return keyed.select("ref_key", state.alias("ref_state"), month_of(F.col("ts")).alias("ref_month")).where("ref_state is not null").distinct()
 
 
+def finding_counts(audit: DataFrame, findings: DataFrame, heavy_rows: int = 50_000, heavy_keys: int = 512) -> DataFrame:
+    """Orphans of audit rows per month and state: ref_month, ref_state, n_orphans.
+
+    References (distinct by id, time and target) are pre-aggregated per key and month before
+    they meet the findings, and whole keys and months are settled by their count, first and last
+    time. Only months in which a finding appears are counted row by row, as there some
+    references are late and others not.
+    """
+    refs, status = _finding_refs(audit, findings)
+    once = refs.distinct()
+    per = once.groupBy("ref_id", month_of(F.col("ts")).alias("ref_month")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"), F.max("ts").alias("last_ts"))
+    keyed = with_status(per, status, ["ref_id"], "ts", heavy_rows, heavy_keys)
+    found, first = F.col("found"), F.col("first_seen")
+    mixed = found & (first > F.col("ts")) & (first <= F.col("last_ts"))
+    state = F.when(found, F.when(first > F.col("last_ts"), LATE)).when(F.col("removed"), DELETED).otherwise(MISSING)
+    whole = keyed.where(~F.coalesce(mixed, F.lit(False))).select("ref_month", state.alias("ref_state"), "n").where("ref_state is not null")
+    split = keyed.where(mixed).select("ref_id", "ref_month", "first_seen")
+    rows = once.withColumn("ref_month", month_of(F.col("ts"))).join(split, ["ref_id", "ref_month"]).where("ts < first_seen")
+    late = rows.groupBy("ref_month").agg(F.count(F.lit(1)).alias("n")).select("ref_month", F.lit(LATE).alias("ref_state"), "n")
+    return whole.unionByName(late).groupBy("ref_month", "ref_state").agg(F.sum("n").alias("n_orphans"))
+
+
 def edge_orphans(bundles: DataFrame, heavy_rows: int = 50_000, heavy_keys: int = 512) -> DataFrame:
     """Edge ends that name no node of their bundle: field_name, ref_key, ref_state, ref_month.
 
@@ -93,6 +121,17 @@ def edge_orphans(bundles: DataFrame, heavy_rows: int = 50_000, heavy_keys: int =
     last time that the tenant had such a node. Null bundles, graphs, edges, nodes and ends are
     no references; an unreadable created_at gives month '' and state ``missing``.
     """
+    keyed, open_refs = _edge_states(bundles, heavy_rows, heavy_keys)
+    # The ends are exploded alone; no row carries its bundle's names along.
+    ends = open_refs.select("bundle_id", "at", F.posexplode("edges").alias("pos", "edge")).select("bundle_id", "at", "pos", F.explode(F.array(F.struct(F.lit("graph.edges.src").alias("field_name"), F.col("edge.src").alias("id")), F.struct(F.lit("graph.edges.dst").alias("field_name"), F.col("edge.dst").alias("id")))).alias("r"))
+    spots = ends.select("bundle_id", "at", "pos", "r.field_name", normal_key(F.col("r.id")).alias("ref_id")).where("ref_id is not null")
+    joined = spots.alias("s").join(keyed.alias("t"), F.col("s.bundle_id").eqNullSafe(F.col("t.bundle_id")) & F.col("s.at").eqNullSafe(F.col("t.at")) & (F.col("s.ref_id") == F.col("t.ref_id")))
+    return joined.select("s.field_name", F.concat_ws(":", "s.bundle_id", F.col("s.pos").cast("string")).alias("ref_key"), "t.ref_state", month_of(F.col("s.at")).alias("ref_month")).distinct()
+
+
+def _edge_states(bundles: DataFrame, heavy_rows: int, heavy_keys: int) -> tuple[DataFrame, DataFrame]:
+    """(unresolved names with their state: bundle_id, at, ref_id, ref_state; bundles that have some:
+    bundle_id, at, edges)."""
     b = bundles.select(
         F.col("manifest.bundle_id").alias("bundle_id"), F.col("manifest.tenant_id").alias("tenant"), instant(F.col("manifest.created_at")).alias("at"),
         F.coalesce(F.col("graph.edges"), F.array()).alias("edges"),
@@ -101,16 +140,11 @@ def edge_orphans(bundles: DataFrame, heavy_rows: int = 50_000, heavy_keys: int =
     ends = F.flatten(F.transform("edges", lambda e: F.array(normal_key(e["src"]), normal_key(e["dst"]))))
     b = b.withColumn("open_ids", F.array_except(F.array_compact(F.array_distinct(ends)), "ids"))
     nodes = b.where("at is not null").select("tenant", "at", F.explode("ids").alias("ref_id")).groupBy("tenant", "ref_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    open_refs = b.where(F.size("open_ids") > 0).select("bundle_id", "tenant", "at", "edges", "open_ids")
+    open_refs = b.where(F.size("open_ids") > 0)
     names = open_refs.select("bundle_id", "tenant", "at", F.explode("open_ids").alias("ref_id")).distinct()
     keyed = with_status(names, nodes, ["tenant", "ref_id"], "at", heavy_rows, heavy_keys)
     state = F.when(F.col("first_at") < F.col("at"), DELETED).when(F.col("last_at") > F.col("at"), LATE).otherwise(MISSING)
-    states = keyed.select("bundle_id", "at", "ref_id", state.alias("ref_state"))
-    spots = open_refs.select("bundle_id", "at", "open_ids", F.posexplode("edges").alias("pos", "edge")).select(
-        "bundle_id", "at", "open_ids", "pos", F.explode(F.array(F.struct(F.lit("graph.edges.src").alias("field_name"), normal_key(F.col("edge.src")).alias("ref_id")), F.struct(F.lit("graph.edges.dst").alias("field_name"), normal_key(F.col("edge.dst")).alias("ref_id")))).alias("r")
-    ).where(F.array_contains("open_ids", F.col("r.ref_id"))).select("bundle_id", "at", "pos", "r.field_name", "r.ref_id").distinct()
-    joined = spots.alias("s").join(states.alias("t"), F.col("s.bundle_id").eqNullSafe(F.col("t.bundle_id")) & F.col("s.at").eqNullSafe(F.col("t.at")) & (F.col("s.ref_id") == F.col("t.ref_id")))
-    return joined.select("s.field_name", F.concat_ws(":", "s.bundle_id", F.col("s.pos").cast("string")).alias("ref_key"), "t.ref_state", month_of(F.col("s.at")).alias("ref_month")).distinct()
+    return keyed.select("bundle_id", "at", "ref_id", state.alias("ref_state")), open_refs.select("bundle_id", "at", "edges")
 
 
 def orphans(audit: DataFrame, findings: DataFrame, bundles: DataFrame, **weights: int) -> DataFrame:
@@ -121,6 +155,9 @@ def orphans(audit: DataFrame, findings: DataFrame, bundles: DataFrame, **weights
     return a.select(*columns).unionByName(e.select(*columns))
 
 
-def orphan_counts(cases: DataFrame) -> DataFrame:
-    """Orphans per table, field, month and state: n_orphans."""
-    return cases.groupBy("table_name", "field_name", "ref_month", "ref_state").agg(F.count(F.lit(1)).alias("n_orphans"))
+def orphan_counts(audit: DataFrame, findings: DataFrame, bundles: DataFrame, **weights: int) -> DataFrame:
+    """Orphans per table, field, month and state: n_orphans. Both kinds of references are counted
+    from pre-aggregated keys, and the counts united."""
+    a = finding_counts(audit, findings, **weights).select(F.lit("mvp_audit").alias("table_name"), F.lit("finding_id").alias("field_name"), "ref_month", "ref_state", "n_orphans")
+    e = edge_orphans(bundles, **weights).groupBy("field_name", "ref_month", "ref_state").agg(F.count(F.lit(1)).alias("n_orphans"))
+    return a.unionByName(e.select(F.lit("sample_bundle").alias("table_name"), "field_name", "ref_month", "ref_state", "n_orphans"))

@@ -9,14 +9,18 @@ from siftwarden.operators import logparse, nested, orphans, packed
 from siftwarden.sources.tables import stored, table
 
 
+def _referring(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("mvp_audit", "mvp_findings", "sample_bundle")]
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Unresolved references of audit rows and bundle edges."""
-    return orphans.orphans(*(table(spark, folder, t) for t in ("mvp_audit", "mvp_findings", "sample_bundle")))
+    return orphans.orphans(*_referring(spark, folder))
 
 
 def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Unresolved references per table, field, month and state."""
-    return orphans.orphan_counts(p1_found(spark, folder))
+    return orphans.orphan_counts(*_referring(spark, folder))
 
 
 def p2_entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -60,7 +61,21 @@ def test_edges_resolve_in_their_bundle_first(spark, heavy_rows):
 def test_empty_tables(spark):
     empty = [spark.createDataFrame([], s) for s in (AUDIT, FINDINGS, BUNDLE)]
     assert orphans.orphans(*empty).count() == 0
-    assert orphans.orphan_counts(orphans.orphans(*empty)).columns == ["table_name", "field_name", "ref_month", "ref_state", "n_orphans"]
+    counts = orphans.orphan_counts(*empty)
+    assert counts.columns == ["table_name", "field_name", "ref_month", "ref_state", "n_orphans"] and counts.count() == 0
+
+
+@pytest.mark.parametrize("heavy_rows", [1, 10**9])
+def test_counts_of_keys_are_the_counts_of_rows(spark, heavy_rows):
+    rng = random.Random(4)
+    days = [datetime(2025, m, d) for m in (1, 2, 3) for d in (1, 10, 20)]
+    rows = [(i, rng.choice([*days, None]), rng.choice(["a", "b ", "C", "d", "e", None]), rng.choice(["x", "finding_deleted"] if i < 3 else ["x"]), None) for i in range(200)]
+    audit = spark.createDataFrame(rows + rows[:50], AUDIT)
+    findings = spark.createDataFrame([("a", days[4]), ("B", days[8]), ("c", days[0]), ("c", None)], FINDINGS)
+    bundles = spark.createDataFrame([bundle("b1", "2025-01-31T23:30:00Z", ["a"], [("x", "a"), ("x", "y")])], BUNDLE)
+    got = cases(orphans.orphan_counts(audit, findings, bundles, heavy_rows=heavy_rows))
+    every = orphans.orphans(audit, findings, bundles).groupBy("table_name", "field_name", "ref_month", "ref_state").count()
+    assert got == cases(every) and any(r[3] == "late" for r in got)
 
 
 def test_clashing_columns(spark):
