@@ -92,14 +92,17 @@ def exploded(array: Column) -> Column:
     return F.explode_outer(array)
 
 
-def evaluated_once(df: DataFrame) -> DataFrame:
-    """A frame whose columns are computed here and nowhere else.
+def evaluated_once(df: DataFrame, computed: list[str]) -> DataFrame:
+    """A frame whose columns ``computed`` are computed here and nowhere else.
 
     Filters on costly columns are else pushed below the projection that computes them, which
     copies the whole expression into the filter. A generator over a one-element array is a
-    fence for that in the optimizer; it moves no data.
+    fence for that in the optimizer; it moves no data. All other columns stay outside of it, so
+    filters on them reach the scan, and columns that nobody reads are not read.
     """
-    return df.select(F.explode_outer(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("_row")).select("_row.*")
+    fenced = F.explode_outer(F.array(F.struct(*(F.col(f"`{c}`") for c in computed)))).alias("_fenced")
+    rest = [c for c in df.columns if c not in computed]
+    return df.select(*(F.col(f"`{c}`") for c in rest), fenced).select(*(F.col(f"_fenced.`{c}`").alias(c) if c in computed else F.col(f"`{c}`") for c in df.columns))
 
 
 def literal_map(table: dict[str, list[str]]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.functions.text import any_of, evaluated_once, literal_map
-from siftwarden.operators.normalise import first_rule
+from siftwarden.operators.normalise import FINDING_COLUMNS, first_rule
 from siftwarden.packs import frameworks, rules
 
 RULES, EMBEDDING, CROSSWALK, MODEL, BENIGN = "rules", "embedding", "crosswalk", "llm_fallback", "benign"
@@ -69,7 +69,8 @@ def resolve(findings: DataFrame, grounded: Column | None = None) -> DataFrame:
         F.when(by_rule & by_near, 0.95).when(by_rule, 0.90).when(by_near, 0.70).otherwise(0.0).alias("confidence"),
         (~some & risky).alias("needs_llm"), (some | ~risky).alias("authoritative"), (~some & ~risky).alias("benign"),
     )
-    return evaluated_once(out.withColumn("mapping", mapping).drop("_r", "_e", "_c"))
+    out = out.withColumn("mapping", mapping).drop("_r", "_e", "_c")
+    return evaluated_once(out, [c for c in out.columns if c in FINDING_COLUMNS or c == "mapping"])
 
 
 def grounding(available: Column, retrieved: Column, candidates: Column) -> Column:

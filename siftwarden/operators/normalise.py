@@ -14,6 +14,10 @@ from siftwarden.functions.text import all_of, any_of, exploded, extracted, match
 from siftwarden.packs import rules
 
 
+#: Columns that ``normalise`` adds.
+FINDING_COLUMNS = ("lane", "log_type", "entities", "ioc_hits", "signals", "rule_controls", "candidate_controls")
+
+
 def lane(low: Column) -> Column:
     """Lane of lower-cased text."""
     out = None

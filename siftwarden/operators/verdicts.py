@@ -2,47 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TTL_SECONDS = 24 * 3600
 
 
+def _led(ttl: int):
+    """Batches sorted by (shape, time, sequence) with their leaders. All that is kept between
+    batches is one leader; within a batch the chain jumps from leader to leader by bisection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape: object = None
+        lead_at = lead_seq = None
+        for batch in batches:
+            n = batch.num_rows
+            shapes = batch.column(0).dictionary_encode()
+            codes = shapes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            words = shapes.dictionary.to_pylist()
+            at = batch.column(1).to_numpy(zero_copy_only=False)
+            seq = batch.column(2).to_numpy(zero_copy_only=False)
+            leaders = np.empty(n, np.int64)
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), n] if n else []
+            for start, end in zip(edges, edges[1:], strict=False):
+                own = words[codes[start]] if codes[start] >= 0 else None
+                if own != shape or lead_at is None:
+                    shape, lead_at = own, None
+                i = start
+                while i < end:
+                    if lead_at is not None:
+                        j = i + int(np.searchsorted(at[i:end], lead_at + ttl, side="right"))
+                        leaders[i:j] = lead_seq
+                        i = j
+                    if i < end:
+                        lead_at, lead_seq = int(at[i]), int(seq[i])
+                        leaders[i] = lead_seq
+                        i += 1
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(leaders)], ["seq", "leader"])
+
+    return run
+
+
 def cached(events: DataFrame, shape: str = "shape", seq: str = "event_seq", ts: str = "ts", ttl: int = TTL_SECONDS) -> DataFrame:
-    """Adds ``leader_seq`` and ``is_hit``.
+    """(seq, leader_seq, is_hit) of each event; ``seq`` is unique.
 
     A leader stores its verdict for ``ttl`` seconds; events of the shape within that time, the
-    limit included, are hits and do not extend it. The next one is a leader again. Finding
-    leaders is a chain (each depends on the one before), so it cannot be a window frame. A
-    shape that holds a third of all events must not be one task's list either: events are
-    first reduced to one row per shape and ``ttl``-long slot with the slot's first and last
-    event, as each slot holds at most one new leader; only slots are folded per shape, and
-    the events then look their leader up through their slot. Ties are ordered by ``seq``.
+    limit included, are hits and do not extend it. The next one is a leader again. Ties are
+    ordered by ``seq``; an event without a time is its own leader; null shapes are one shape.
+
+    Finding leaders is a chain (each depends on the one before), so a shape is one sorted stream.
+    It carries three narrow columns, is sorted with spilling, and is passed with one leader in
+    memory, whatever the number of its events.
     """
-    at = F.unix_micros(ts)
-    slot = F.floor(at / F.lit(ttl * 1_000_000))
-    e = events.withColumns({"_at": at, "_slot": slot})
-    # Leaders are chained inside slots by their times; the fold needs each slot's sorted times.
-    times = e.groupBy(shape, "_slot", "_at").agg(F.min(seq).alias("_seq"))
-    per = times.groupBy(shape, "_slot").agg(F.sort_array(F.collect_list(F.struct("_at", "_seq"))).alias("_t"))
-    w = Window.partitionBy(shape).orderBy("_slot")
-    limit = F.lit(ttl * 1_000_000)
-    # A slot's leader is the first time over the limit of the leader before; with state
-    # (leader time, leader seq) carried along the slots in order.
-    folded = per.groupBy(shape).agg(F.sort_array(F.collect_list(F.struct("_slot", "_t"))).alias("_s"))
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("seq"), F.array().cast("array<struct<slot:bigint,at:bigint,seq:bigint>>").alias("out"))
-
-    def step(state, s):
-        first = F.get(F.filter(s["_t"], lambda x: state["at"].isNull() | (x["_at"] > state["at"] + limit)), F.lit(0))
-        lead = F.struct(s["_slot"].alias("slot"), first["_at"].alias("at"), first["_seq"].cast("bigint").alias("seq"))
-        return F.when(first.isNull(), state).otherwise(F.struct(first["_at"].alias("at"), first["_seq"].cast("bigint").alias("seq"), F.concat(state["out"], F.array(lead)).alias("out")))
-
-    leaders = folded.select(shape, F.explode(F.aggregate("_s", start, step)["out"]).alias("l")).select(shape, F.col("l.slot").alias("_slot"), F.col("l.at").alias("_lat"), F.col("l.seq").alias("_lseq"))
-    # The leader of an event: its slot's, if not later than it, else the last one before.
-    prior = per.select(shape, "_slot").join(leaders, [shape, "_slot"], "left").withColumns(
-        {"_pat": F.last("_lat", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_pseq": F.last("_lseq", True).over(w.rowsBetween(Window.unboundedPreceding, -1))}
-    )
-    out = e.join(prior, [shape, "_slot"])
-    own = F.col("_lat").isNotNull() & ((F.col("_at") > F.col("_lat")) | ((F.col("_at") == F.col("_lat")) & (F.col(seq) >= F.col("_lseq"))))
-    leader = F.when(own, F.col("_lseq")).otherwise(F.col("_pseq"))
-    return out.withColumn("leader_seq", leader).withColumn("is_hit", F.col("leader_seq") != F.col(seq)).drop("_at", "_slot", "_lat", "_lseq", "_pat", "_pseq")
+    narrow = events.select(F.col(shape).cast("string").alias("shape"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(seq).cast("bigint").alias("seq"))
+    timed = narrow.where("at is not null").repartition("shape").sortWithinPartitions("shape", "at", "seq")
+    led = timed.mapInArrow(_led(ttl * 1_000_000), "seq bigint, leader bigint")
+    every = led.unionByName(narrow.where("at is null").select("seq", F.col("seq").alias("leader")))
+    return every.select(F.col("seq").alias(seq), F.col("leader").alias("leader_seq"), (F.col("leader") != F.col("seq")).alias("is_hit"))

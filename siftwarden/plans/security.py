@@ -122,7 +122,7 @@ def verdict_shape(spark, folder):
 
 def verdict_cache(spark, folder):
     rows = _findings(spark, folder).select("event_seq", "ts", mapping.verdict_shape().alias("shape"))
-    return verdicts.cached(checkpointed(rows)).select("event_seq", "leader_seq", "is_hit")
+    return verdicts.cached(rows)
 
 
 def suggestion_merge(spark, folder):
