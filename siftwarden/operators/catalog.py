@@ -65,5 +65,14 @@ def expanded(walk: DataFrame, controls: DataFrame) -> DataFrame:
     return pivot.join(walk.where("framework <> 'cis'").select("scf_id", "framework", "ext_id"), "scf_id").select("control_id", "framework", "ext_id").distinct()
 
 
+def nist_of(walk: DataFrame, controls: DataFrame) -> DataFrame:
+    """(control_id, nist): sorted CSF ids of each control, else those of 800-53, else none."""
+    ids = expanded(walk, controls).where(F.col("framework").isin("nist_csf", "nist_80053")).groupBy("control_id").agg(
+        *(F.array_sort(F.collect_set(F.when(F.col("framework") == f, F.col("ext_id")))).alias(f) for f in ("nist_csf", "nist_80053"))
+    )
+    best = F.when(F.size("nist_csf") > 0, F.col("nist_csf")).otherwise(F.col("nist_80053"))
+    return controls.select("control_id").distinct().join(ids, "control_id", "left").select("control_id", F.coalesce(best, F.array().cast("array<string>")).alias("nist"))
+
+
 def frameworks_present(walk: DataFrame) -> DataFrame:
     return walk.select("framework").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,12 +34,66 @@ def hops(bundles: DataFrame, kind: str = "control") -> DataFrame:
     return reached.select("bundle_id", F.col("src").alias("start"), F.col("dst").alias("reached"), "reached_type").distinct()
 
 
+def lookup(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Nodes of the given (bundle_id, id), once each; ids without a node have none."""
+    return nodes(bundles).join(wanted.select("bundle_id", "id").distinct(), ["bundle_id", "id"], "left_semi").select("bundle_id", "id", "type", "label", "framework")
+
+
 def sample(bundles: DataFrame, most: int = 10) -> DataFrame:
-    """The first nodes of each bundle by position."""
-    return bundles.select(F.col("manifest.bundle_id").alias("bundle_id"), F.posexplode(F.slice("graph.nodes", 1, most)).alias("pos", "n")).select("bundle_id", "pos", "n.id").distinct()
+    """The first nodes (by their first place, once per id) and edges of each bundle: (bundle_id, kind, pos, name)."""
+    rows = bundles.select(F.col("manifest.bundle_id").alias("bundle_id"), F.posexplode("graph.nodes").alias("pos", "n")).where("n.id <> ''")
+    first = rows.groupBy("bundle_id", F.col("n.id").alias("name")).agg(F.min("pos").alias("pos"))
+    w = Window.partitionBy("bundle_id").orderBy("pos")
+    a = first.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < most).select("bundle_id", F.lit("node").alias("kind"), "pos", "name")
+    cut = bundles.select(F.col("manifest.bundle_id").alias("bundle_id"), F.posexplode(F.slice("graph.edges", 1, most)).alias("pos", "e"))
+    b = cut.select("bundle_id", F.lit("edge").alias("kind"), "pos", F.concat_ws(" -> ", F.coalesce("e.src", F.lit("")), F.coalesce("e.dst", F.lit(""))).alias("name")).distinct()
+    return a.unionByName(b)
+
+
+def _object(pairs: dict[str, Column]) -> Column:
+    """Compact JSON of an object with sorted keys; values are JSON texts."""
+    parts = [F.concat(F.lit(f'"{k}":'), pairs[k]) for k in sorted(pairs)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+#: Characters that JSON escapes in ASCII output and how.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _text(value: Column) -> Column:
+    """JSON text of a string, other than ASCII escaped by UTF-16 units; null stays ``null``."""
+    units = F.hex(F.encode(value, "UTF-16BE"))
+    escaped = F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(units, F.lit("(.{4})"), F.lit(1)), _unit), ""), F.lit('"'))
+    plain = ~value.rlike(r'[^ !#-\[\]-~]')
+    return F.when(value.isNull(), "null").when(plain, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(escaped)
+
+
+def _unit(unit: Column) -> Column:
+    code = F.conv(unit, 16, 10).cast("int")
+    out = F.when((code >= 32) & (code < 127) & ~code.isin(34, 92), F.char(code))
+    for c, short in _SHORT.items():
+        out = out.when(code == ord(c), F.lit(short))
+    return out.otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
+
+
+def graph_text(graph: Column) -> Column:
+    """Canonical JSON of a graph: keys sorted at every level, no white space, ASCII. Fields of
+    nodes and edges that are null are written as null, empty maps as {}."""
+    props = lambda p: F.when(p.isNull(), "null").otherwise(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(p)), lambda e: F.concat(_text(e["key"]), F.lit(":"), _text(e["value"]))), ","), F.lit("}")))
+    node = lambda n: F.when(n.isNull(), "null").otherwise(_object({**{k: _text(n[k]) for k in ("id", "type", "label", "framework")}, "props": props(n["props"])}))
+    edge = lambda e: F.when(e.isNull(), "null").otherwise(_object({k: _text(e[k]) for k in ("src", "dst", "rel")}))
+
+    def listed(values: Column, of) -> Column:
+        return F.when(values.isNull(), "null").otherwise(F.concat(F.lit("["), F.array_join(F.transform(values, of), ","), F.lit("]")))
+
+    return _object({"nodes": listed(graph["nodes"], node), "edges": listed(graph["edges"], edge)})
 
 
 def checked_hash(bundles: DataFrame) -> DataFrame:
-    """sha256 of each graph as JSON and whether the manifest says the same."""
-    own = F.sha2(F.to_json("graph"), 256)
-    return bundles.select(F.col("manifest.bundle_id").alias("bundle_id"), own.alias("sha256"), (own == F.col("manifest.graph_sha256")).alias("agrees"))
+    """sha256 of each graph's canonical JSON, whether the manifest says the same, and what is wrong
+    where it does not. A signature other than an empty or stub one is not verified."""
+    own, said = F.sha2(graph_text(F.col("graph")), 256), F.col("manifest.graph_sha256")
+    stub = F.coalesce(F.col("manifest.signature"), F.lit("")).isin("", "STUB", "STUBBED")
+    agrees = F.coalesce(own == said, F.lit(False))
+    error = F.when(F.coalesce(said, F.lit("")) == "", "no graph_sha256 in manifest").when(~agrees, "graph hash mismatch")
+    return bundles.select(F.col("manifest.bundle_id").alias("bundle_id"), own.alias("sha256"), agrees.alias("agrees"), (agrees & stub).alias("verified"), error.alias("error"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.functions.text import any_of, evaluated_once, literal_map
-from siftwarden.operators.normalise import FINDING_COLUMNS, first_rule
+from siftwarden.operators import catalog
+from siftwarden.operators.normalise import FINDING_COLUMNS, checked_small, first_rule
 from siftwarden.packs import frameworks, rules
 
 RULES, EMBEDDING, CROSSWALK, MODEL, BENIGN = "rules", "embedding", "crosswalk", "llm_fallback", "benign"
@@ -48,6 +49,57 @@ def hipaa_of(controls: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(controls, lambda c: F.coalesce(table[c], F.array().cast("array<string>"))))))
 
 
+def frameworks_of(controls: Column) -> Column:
+    """Ids by framework of an array of controls, by the built-in tables; frameworks without an id
+    are left out."""
+    parts = F.array(F.struct(F.lit("nist_csf"), nist_of(controls)), F.struct(F.lit("hipaa"), hipaa_of(controls)))
+    return F.map_from_entries(F.filter(parts, lambda x: F.size(x["col2"]) > 0))
+
+
+def with_catalog(findings: DataFrame, walk: DataFrame, most: int = 10_000) -> DataFrame:
+    """Mappings whose NIST and HIPAA ids come from a loaded catalog (``catalog.crosswalk``) instead of the
+    built-in tables, and a column ``frameworks`` with the ids of all its frameworks, sorted.
+
+    The catalog is reduced to the ids of the built-in controls; they become a literal, so their
+    number is checked. Beyond ``most`` ids, join with ``catalog.expanded``.
+    """
+    spark = walk.sparkSession
+    controls = spark.createDataFrame([(c,) for c in frameworks.CONTROLS], "control_id string")
+    rows = checked_small(catalog.expanded(walk, controls), most).collect()
+    held: dict[str, dict[str, list[str]]] = {}
+    for r in rows:
+        held.setdefault(r.framework, {}).setdefault(r.control_id, []).append(r.ext_id)
+    m, none = F.col("mapping"), F.array().cast("array<string>")
+
+    def ids(framework: str) -> Column:
+        if framework not in held:
+            return none
+        table = literal_map(held[framework])
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(m["control_ids"], lambda c: F.coalesce(table[c], none)))))
+
+    nist = F.when(F.size(ids("nist_csf")) > 0, ids("nist_csf")).otherwise(ids("nist_80053"))
+    every = F.array(*(F.struct(F.lit(f).alias("k"), ids(f).alias("v")) for f in sorted(held))) if held else F.array().cast("array<struct<k:string,v:array<string>>>")
+    return findings.withColumns({"mapping": m.withField("nist_subcategories", nist).withField("hipaa_sections", ids("hipaa")), "frameworks": F.map_from_entries(F.filter(every, lambda x: F.size(x["v"]) > 0))})
+
+
+def rationale(most: int = 3) -> Column:
+    """Why a mapping is as it is: the first names of what matched. The wording is fixed."""
+    m = F.col("mapping")
+    names = F.create_map(*(F.lit(x) for c, t in frameworks.CONTROLS.items() for x in (c, t)))
+    ruled = F.filter(m["control_ids"], lambda c: F.array_contains(m["provenance"][c], RULES))
+    near = F.filter(m["control_ids"], lambda c: ~F.array_contains(m["provenance"][c], RULES))
+    parts = F.array_compact(
+        F.array(
+            F.when(F.size(ruled) > 0, F.concat(F.lit("keyword/signature rules matched "), F.array_join(F.transform(F.slice(ruled, 1, most), lambda c: F.coalesce(names[c], c)), ", "))),
+            F.when(F.size(near) > 0, F.concat(F.lit("embedding similarity added "), F.array_join(F.slice(near, 1, most), ", "))),
+            F.lit("NIST/HIPAA expanded via the deterministic crosswalk table"),
+        )
+    )
+    quiet = "No rule or embedding match and no deterministic risk signals — treated as benign (no applicable control); LLM not consulted."
+    risky = "No rule/embedding match but risk signals are present — escalating to LLM fallback for a reviewable suggestion (non-authoritative)."
+    return F.when(F.size(m["control_ids"]) > 0, F.concat(F.array_join(parts, "; "), F.lit("."))).when(m["benign"], quiet).otherwise(risky)
+
+
 def resolve(findings: DataFrame, grounded: Column | None = None) -> DataFrame:
     """Adds a struct ``mapping``; ``grounded`` are controls of the embedding tier.
 
@@ -133,8 +185,3 @@ def verdict_shape() -> Column:
     flags = F.concat_ws(", ", *(F.concat(F.lit(f'"{s}": '), F.col(f"signals.{s}").cast("string")) for s in sorted(rules.SIGNALS)))
     shape = F.concat(F.lit('{"controls": ['), controls, F.lit('], "log_type": "'), F.col("log_type"), F.lit('", "signals": {'), flags, F.lit("}}"))
     return F.substring(F.sha2(shape, 256), 1, 16)
-
-
-def one_hop(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, dst) of edges that leave the given starts, once each."""
-    return starts.distinct().join(edges, F.col("start") == F.col("src")).select("start", "dst").distinct()

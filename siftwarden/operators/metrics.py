@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwarden.functions.text import rank_percentile
@@ -66,6 +66,57 @@ def exposition(values: DataFrame) -> DataFrame:
     return values.select(F.concat(body, F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
+def quantile_lines(summary: DataFrame, name: str, *labels: str) -> DataFrame:
+    """Exposition lines of a latency summary: one per label set and quantile."""
+    text = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in sorted(labels)))
+    rows = F.array(*(F.struct(F.lit(q).alias("q"), F.col(c).alias("v")) for q, c in (("0.5", "p50"), ("0.95", "p95"), ("0.99", "p99"))))
+    listed = summary.select(text.alias("_l"), F.explode(rows).alias("x"))
+    return listed.select(F.concat(F.lit(f"{name}_ms{{"), F.when(F.col("_l") == "", "").otherwise(F.concat("_l", F.lit(","))), F.lit('quantile="'), F.col("x.q"), F.lit('"} '), F.col("x.v").cast("string")).alias("line"))
+
+
+def _span(at: str) -> Column:
+    """Seconds from the first to the last call of a group; null for one moment."""
+    took = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / F.lit(1e6)
+    return F.when(took > 0, took)
+
+
+def load_stats(calls: DataFrame, by: list[str], at: str = "created_at", latency: str = "latency_ms", ok: str = "ok", tokens: str = "completion_tokens", order: str = "result_id", window: int = 5000) -> DataFrame:
+    """Per group: completed, errors, error_rate, calls and tokens per second, p50, p95, p99, max of the
+    last ``window`` latencies, tokens per call. Rates are over the span of the group's calls, 0 where
+    that is one moment; null and negative latencies are no samples."""
+    failed, n = F.count_if(~F.coalesce(F.col(ok), F.lit(False))), F.count(F.lit(1))
+    held = F.coalesce(F.sum(tokens), F.lit(0))
+    per = calls.groupBy(*by).agg(
+        n.alias("completed"), failed.alias("errors"), F.bround(failed / n, 3).alias("error_rate"),
+        F.coalesce(F.bround(n / _span(at), 4), F.lit(0.0)).alias("calls_per_s"), F.coalesce(F.bround(held / _span(at), 3), F.lit(0.0)).alias("tokens_per_s"), F.bround(held / n, 1).alias("avg_tokens"),
+    )
+    samples = calls.where(F.col(latency) >= 0).withColumn(latency, F.col(latency).cast("double"))
+    times = latency_summary(samples, latency, by, [order], window).select(*by, "p50", "p95", "p99", "max")
+    match = [per[c].eqNullSafe(times[c]) for c in by]
+    return per.join(times, match, "left").select(*(per[c] for c in by), *(per[c] for c in per.columns if c not in by), "p50", "p95", "p99", F.col("max").alias("max_ms"))
+
+
+def ingest_summary(events: DataFrame, at: str, latency: str, ok: str, calls: str, order: str, window: int = 5000) -> DataFrame:
+    """One row over events: events, errors, wall_s, throughput, percentiles of the last ``window``
+    latencies, model calls (column ``calls``) per event, share of events without any."""
+    n, failed = F.count(F.lit(1)), F.count_if(~F.coalesce(F.col(ok), F.lit(False)))
+    whole = events.agg(
+        n.alias("events"), failed.alias("errors"), F.bround(_span(at), 2).alias("wall_s"), F.coalesce(F.bround(n / _span(at), 4), F.lit(0.0)).alias("throughput_eps"),
+        F.coalesce(F.sum(calls), F.lit(0)).alias("model_calls"), F.bround(F.coalesce(F.sum(calls), F.lit(0)) / F.greatest(n, F.lit(1)), 3).alias("calls_per_event"), F.bround(100 * F.count_if(F.col(calls) == 0) / F.greatest(n, F.lit(1)), 1).alias("deterministic_pct"),
+    )
+    samples = events.where(F.col(latency) >= 0).select(F.lit(1).alias("_g"), F.col(latency).cast("double").alias("v"), order).orderBy(F.desc(order)).limit(window)
+    held = samples.groupBy("_g").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    times = held.select(*(F.round(rank_percentile(F.col("v"), s), 1).alias(f"p{int(s * 100)}") for s in (0.5, 0.95, 0.99)))
+    return whole.join(F.broadcast(times), how="left")  # one row each
+
+
+def scored_rows(rows: DataFrame, deterministic: str, ms: str, key: str, most: int = 150) -> DataFrame:
+    """The first rows of a routing report, undecided ones last, quick ones first: adds ``pos``."""
+    first = rows.orderBy(~F.col(deterministic), ms, key).limit(most)
+    w = Window.orderBy(~F.col(deterministic), ms, key)  # over at most ``most`` rows
+    return first.withColumn("pos", F.row_number().over(w))
+
+
 def level_stats(calls: DataFrame, level: str, latency: str = "latency_ms", ok: str = "ok", tokens: str = "completion_tokens") -> DataFrame:
     """Per level: calls, errors, error rate, tokens, mean and greatest latency."""
     failed = F.count_if(~F.coalesce(F.col(ok), F.lit(False)))

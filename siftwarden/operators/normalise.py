@@ -169,11 +169,11 @@ def at_least(severity: Column, threshold: str) -> Column:
 def scan(assets: DataFrame, catalog: DataFrame, *keys: str) -> DataFrame:
     """Services against a vulnerability catalog, by case-insensitive containment.
 
-    Containment has no equi-key, so the catalog is broadcast; it is a short reference table and
-    its size is checked by the caller that loads it (``checked_small``).
+    Containment has no equi-key, so the catalog is broadcast; it is a short reference table
+    whose size is checked first.
     """
     hit = F.lower("service").contains(F.lower("signature"))
-    return assets.join(F.broadcast(catalog), hit).select(*keys, "service", "cve", "severity", "summary")
+    return assets.join(F.broadcast(checked_small(catalog)), hit).select(*keys, "service", "cve", "severity", "summary")
 
 
 def checked_small(df: DataFrame, most: int = 10_000) -> DataFrame:

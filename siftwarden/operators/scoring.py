@@ -84,6 +84,24 @@ def linked(events: DataFrame, key: str = "event_seq", alerted: str = "alerted",
     return events.join(hit, key, "left").withColumn("via_corr", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def hot_ids(events: DataFrame, alerted: str = "alerted", ids: str = "corr") -> DataFrame:
+    """Ids of campaigns: those on any alerted event, once each, with how many events carry them."""
+    pairs = events.select(alerted, F.explode(F.array_distinct(F.col(ids))).alias("id"))
+    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(alerted).alias("n_alerted")).where("n_alerted > 0")
+
+
+def zipped(inputs: DataFrame, verdicts: DataFrame, key: str = "event_seq") -> DataFrame:
+    """Inputs beside their verdicts by an explicit sequence number; inputs without one keep nulls."""
+    clash = [c for c in verdicts.columns if c in inputs.columns and c != key]
+    return inputs.join(verdicts.drop(*clash), key, "left")
+
+
+def worst(counted: DataFrame, side: str, key: str = "id", most: int = 6) -> DataFrame:
+    """The rows with most wrong (``n_fp``) or missed (``n_fn``) ids, ties by key; of the first
+    ``most``, those that have any."""
+    return counted.orderBy(F.desc(side), key).limit(most).where(F.col(side) > 0)
+
+
 def outcomes(events: DataFrame, truth: str = "label") -> DataFrame:
     """Confusion counts with and without campaign links, precision and recall."""
     seen = F.col("alerted") | F.col("via_corr")

@@ -80,7 +80,7 @@ SNAPSHOT_SQL = """SELECT s_suppkey AS snapshot_id, concat('{',
   CASE s_suppkey % 3 WHEN 0 THEN '' ELSE concat(',"cloudtrail":{"enabled":', CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END, '}') END,
   CASE s_suppkey % 5 WHEN 4 THEN '' ELSE concat(',"security_groups":[{"name":"g","open_ingress":[{"cidr":"', CASE WHEN s_suppkey % 3 = 1 THEN '0.0.0.0/0' ELSE '::/0' END, '","port":', CASE WHEN s_suppkey % 2 = 0 THEN '22' ELSE '443' END, '}]}]') END,
   CASE s_suppkey % 7 WHEN 0 THEN '' ELSE concat(',"tls_endpoints":[{"name":"t","min_version":', CASE s_suppkey % 4 WHEN 0 THEN '"1.10"' WHEN 1 THEN '"1.2"' WHEN 2 THEN 'null' ELSE '"1.3"' END, '},{"name":"u"', CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE ',"min_version":"1.3"' END, '}]') END,
-  CASE s_suppkey % 4 WHEN 3 THEN '' ELSE concat(',"backups":{"configured":', CASE WHEN s_suppkey % 5 = 1 THEN 'false' ELSE 'true' END, '}') END,
+  CASE s_suppkey % 4 WHEN 3 THEN '' ELSE concat(',"backups":{"configured":', CASE WHEN s_suppkey % 5 = 1 THEN 'false' WHEN s_suppkey % 5 = 2 THEN 'null' ELSE 'true' END, '}') END,
   '}') AS snapshot FROM supplier"""
 
 

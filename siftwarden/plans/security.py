@@ -460,7 +460,11 @@ _REPLAY = f"""e AS (SELECT event_seq, label, {_SEVERITY} IN ('critical', 'high')
 
 
 def _flag_sql(path: str) -> str:
-    return f"CAST(json_extract_string(snapshot, '{path}') AS BOOLEAN)"
+    return f"CASE WHEN json_exists(snapshot, '{path}') THEN coalesce(CAST(json_extract_string(snapshot, '{path}') AS BOOLEAN), false) END"
+
+
+def _word_sql(path: str) -> str:
+    return f"CASE WHEN json_exists(snapshot, '{path}') THEN coalesce(json_extract_string(snapshot, '{path}'), 'null') END"
 
 
 _LISTS = "FROM (SELECT unnest(CAST(json_extract(snapshot, '$.{0}') AS JSON[])) AS x)"
@@ -471,15 +475,15 @@ def _bad_names(section: str, bad: str) -> str:
 
 
 _CHECKS = [
-    ("CFG-ROOT-MFA", "Control 6", "critical", _flag_sql("$.aws_account.root_mfa_enabled"), "json_extract_string(snapshot, '$.aws_account.root_mfa_enabled')"),
+    ("CFG-ROOT-MFA", "Control 6", "critical", _flag_sql("$.aws_account.root_mfa_enabled"), _word_sql("$.aws_account.root_mfa_enabled")),
     ("CFG-IAM-MFA", "Control 6", "high", None, ("iam_users", "coalesce(json_extract_string(x, '$.mfa_enabled'), 'false') = 'false'")),
     ("CFG-PW-LEN", "Control 5", "medium", "CAST(json_extract_string(snapshot, '$.aws_account.password_policy.min_length') AS INT) >= 14", "json_extract_string(snapshot, '$.aws_account.password_policy.min_length')"),
     ("CFG-S3-PUBLIC", "Control 3", "high", None, ("s3_buckets", "json_extract_string(x, '$.public') = 'true'")),
     ("CFG-S3-ENC", "Control 3", "high", None, ("s3_buckets", "coalesce(json_extract_string(x, '$.encrypted'), 'false') = 'false'")),
-    ("CFG-AUDIT-LOG", "Control 8", "high", _flag_sql("$.cloudtrail.enabled"), "json_extract_string(snapshot, '$.cloudtrail.enabled')"),
+    ("CFG-AUDIT-LOG", "Control 8", "high", _flag_sql("$.cloudtrail.enabled"), _word_sql("$.cloudtrail.enabled")),
     ("CFG-NET-SSH", "Control 12", "critical", "CASE WHEN json_extract(snapshot, '$.security_groups') IS NOT NULL THEN NOT (contains(snapshot, '\"0.0.0.0/0\",\"port\":22') OR contains(snapshot, '\"0.0.0.0/0\",\"port\":3389')) END", "CASE WHEN contains(snapshot, '\"0.0.0.0/0\",\"port\":22') THEN 'g:22' ELSE '' END"),
     ("CFG-TLS-MIN", "Control 4", "medium", None, ("tls_endpoints", "CASE WHEN json_exists(x, '$.min_version') THEN coalesce(json_extract_string(x, '$.min_version'), 'None') ELSE '0' END < '1.2'")),
-    ("CFG-BACKUP", "Control 11", "high", _flag_sql("$.backups.configured"), "json_extract_string(snapshot, '$.backups.configured')"),
+    ("CFG-BACKUP", "Control 11", "high", _flag_sql("$.backups.configured"), _word_sql("$.backups.configured")),
 ]
 
 
@@ -547,7 +551,7 @@ ORACLES = {
     "scan_match": "WITH v(signature, cve, severity) AS (VALUES " + ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c, _ in rules.VULNERABILITIES) + "), p AS (SELECT s_suppkey, unnest([CASE WHEN s_suppkey % 2 = 0 THEN 'openssh 7.9p1' ELSE 'nginx 1.18' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Microsoft Exchange smtpd' ELSE 'ms-wbt-server' END]) AS service FROM supplier) SELECT s_suppkey, service, cve, severity FROM p JOIN v ON contains(lower(service), lower(signature))",
     "config_checks": _checks_sql() + " SELECT snapshot_id, check_id, control_id, status, severity, evidence FROM k",
     "config_posture": _checks_sql() + " SELECT snapshot_id, control_id, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'pass') THEN 'pass' ELSE 'na' END AS posture FROM k GROUP BY ALL",
-    "config_score": _checks_sql() + " SELECT snapshot_id, count_if(status = 'pass') AS n_pass, count_if(status = 'fail') AS n_fail, count_if(status = 'na') AS n_na, round_even(count_if(status = 'pass') / nullif(count_if(status <> 'na'), 0), 3) AS score, coalesce(string_agg(DISTINCT CASE WHEN status = 'fail' THEN control_id END, ',' ORDER BY CASE WHEN status = 'fail' THEN control_id END), '') AS failed_controls FROM k GROUP BY 1",
+    "config_score": _checks_sql() + " SELECT snapshot_id, count_if(status = 'pass') AS n_pass, count_if(status = 'fail') AS n_fail, count_if(status = 'na') AS n_na, count(*) AS n_total, round_even(count_if(status = 'pass') / nullif(count_if(status <> 'na'), 0), 3) AS score, coalesce(string_agg(DISTINCT CASE WHEN status = 'fail' THEN control_id END, ',' ORDER BY CASE WHEN status = 'fail' THEN control_id END), '') AS failed_controls FROM k GROUP BY 1",
     "eval_micro": _JUDGE + ", s AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS rec FROM s) SELECT tp, fp, fn, round(p, 6) AS precision, round(rec, 6) AS recall, round(coalesce(2 * p * rec / nullif(p + rec, 0), 0.0), 6) AS f1 FROM r",
     "eval_per_control": _JUDGE + ", p AS (SELECT id, unnest(pred) AS k FROM j), t AS (SELECT id, unnest(truth) AS k FROM j), b AS (SELECT coalesce(p.k, t.k) AS control_id, p.k IS NOT NULL AS a, t.k IS NOT NULL AS b FROM p FULL JOIN t ON p.id = t.id AND p.k = t.k) SELECT control_id, count_if(a AND b) AS tp, count_if(a AND NOT b) AS fp, count_if(b AND NOT a) AS fn FROM b GROUP BY 1",
     "eval_per_tier": _JUDGE + " SELECT 'rules' AS tier, sum(tp)::BIGINT AS correct, sum(fp)::BIGINT AS wrong FROM c HAVING sum(tp + fp) > 0",
@@ -573,7 +577,8 @@ ORACLES = {
     "call_stats": "WITH d AS (SELECT DISTINCT result_id, agent, ok, completion_tokens, latency_ms FROM agent_results) SELECT agent, count(*) AS completed, count_if(NOT coalesce(ok, false)) AS errors, round_even(count_if(NOT coalesce(ok, false)) / count(*), 3) AS error_rate, coalesce(sum(completion_tokens), 0)::BIGINT AS tokens, round_even(coalesce(sum(completion_tokens), 0) / count(*), 1) AS avg_tokens, max(CASE WHEN latency_ms >= 0 THEN latency_ms END) AS max_ms FROM d GROUP BY 1",
     "queue_depth": f"SELECT {_lane_sql('raw')} AS lane, count(*) AS pending FROM ({_TYPED}) GROUP BY 1",
     "narrative_gate": _F + f"x AS (SELECT {_SEVERITY} AS severity FROM f) SELECT severity, severity IN ('critical', 'high') AS report, count(*) AS n FROM x GROUP BY ALL",
-    "bundle_sample": "SELECT DISTINCT bundle_id, pos - 1 AS pos, n.id AS id FROM (SELECT manifest.bundle_id AS bundle_id, unnest(graph.nodes) AS n, generate_subscripts(graph.nodes, 1) AS pos FROM sample_bundle) WHERE pos <= 10",
+    "bundle_sample": "WITH n AS (SELECT manifest.bundle_id AS bundle_id, unnest(graph.nodes) AS n, generate_subscripts(graph.nodes, 1) AS pos FROM sample_bundle), f AS (SELECT bundle_id, n.id AS name, min(pos) AS pos FROM n WHERE n.id <> '' GROUP BY ALL), e AS (SELECT DISTINCT manifest.bundle_id AS bundle_id, unnest(graph.edges) AS e, generate_subscripts(graph.edges, 1) AS pos FROM sample_bundle) "
+    "SELECT bundle_id, 'node' AS kind, row_number() OVER (PARTITION BY bundle_id ORDER BY pos) - 1 AS pos, name FROM f QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY pos) <= 10 UNION ALL SELECT DISTINCT bundle_id, 'edge', pos - 1, coalesce(e.src, '') || ' -> ' || coalesce(e.dst, '') FROM e WHERE pos <= 10 AND e IS NOT NULL",
     "frameworks_present": _SCF + " SELECT DISTINCT framework FROM w",
     "timeline_recent": _F + _FT + " SELECT event_seq, log_type FROM t ORDER BY event_seq DESC LIMIT 10000",
     "numbered_prompts": f"SELECT event_seq // 6 AS batch, string_agg('[' || (event_seq % 6 + 1) || '] ' || substr(raw, 1, 1500), chr(10) ORDER BY event_seq) AS prompt FROM ({_TYPED}) GROUP BY 1",

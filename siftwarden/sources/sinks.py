@@ -36,18 +36,31 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
 
 
 def save_findings(rows: DataFrame, findings_path: str, audit_path: str) -> int:
-    """Findings once per id, and an audit row for each that is new."""
+    """Findings once per id, then an audit row for each stored finding that has none yet.
+
+    Both steps compare with what is stored, so a run that broke between them is completed by
+    the next one, and no audit row can name a finding that is not there. ``detail`` is the
+    finding's log type and severity as JSON, where there are such columns.
+    """
     spark = rows.sparkSession
-    known = spark.read.parquet(findings_path).select("finding_id") if _exists(spark, findings_path) else None
-    fresh = rows.dropDuplicates(["finding_id"])
-    audit = (fresh.join(known, "finding_id", "left_anti") if known is not None else fresh).select("finding_id", F.lit("analysis_completed").alias("event"), F.current_timestamp().alias("ts"))
+    n = append_new(rows, findings_path, "finding_id")
+    if not _exists(spark, findings_path):
+        return n
+    held = spark.read.parquet(findings_path)
+    told = [c for c in ("log_type", "severity") if c in held.columns]
+    detail = F.to_json(F.struct(*told)) if told else F.lit("{}")
+    audit = held.select("finding_id", F.lit("analysis_completed").alias("event"), F.current_timestamp().alias("ts"), detail.alias("detail"))
+    if _exists(spark, audit_path):
+        known = spark.read.parquet(audit_path).where("event = 'analysis_completed'").select("finding_id")
+        audit = audit.join(known, "finding_id", "left_anti")
     audit.write.mode("append").parquet(audit_path)
-    return append_new(rows, findings_path, "finding_id")
+    return n
 
 
 def append_timeline(rows: DataFrame, path: str, ts: str = "ts") -> None:
-    """Appends by day, sorted by time inside files so that readers can skip row groups."""
-    rows.withColumn("day", F.to_date(ts)).repartition("day").sortWithinPartitions(ts).write.mode("append").partitionBy("day").parquet(path)
+    """Appends by day, sorted by time inside files so that readers can skip row groups. Rows are
+    dealt out by ranges of time, so a day that holds most of them goes to many tasks."""
+    rows.withColumn("day", F.to_date(ts)).repartitionByRange("day", ts).sortWithinPartitions("day", ts).write.mode("append").partitionBy("day").parquet(path)
 
 
 def graph_edges(spark: SparkSession) -> DataFrame:

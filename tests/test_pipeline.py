@@ -120,7 +120,7 @@ def test_redaction_round_trip(spark, text):
 
 
 def test_every_hundredth_vector_is_searched_against_all(spark, tmp_path):
-    from siftwarden.plans.security import vector_floor_each, vector_topk_each
+    from siftwarden.plans.security import vector_floor, vector_topk
 
     rng = random.Random(7)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], i % 10) for i in range(250)]
@@ -138,13 +138,13 @@ def test_every_hundredth_vector_is_searched_against_all(spark, tmp_path):
         top |= {(q, i, round(-s, 5)) for s, i in best}
         second = sorted(best, key=lambda x: (-(100 - held[x[1]][1] * 7 - x[1] % 5), x[1]))[:6]
         floor |= {(q, i, held[i][1]) for s, i in second if -s >= 0.1}
-    assert {(r.query_id, r.vec_id, r.similarity) for r in vector_topk_each(spark, str(tmp_path)).collect()} == top
-    assert {tuple(r) for r in vector_floor_each(spark, str(tmp_path)).collect()} == floor
+    assert {(r.query_id, r.vec_id, r.similarity) for r in vector_topk(spark, str(tmp_path)).collect()} == top
+    assert {tuple(r) for r in vector_floor(spark, str(tmp_path)).collect()} == floor
 
 
 def test_queue_depth_counts_every_event(spark, data):
     from siftwarden.plans.rawlogs import raw_logs
-    from siftwarden.plans.security import queue_depth_all
+    from siftwarden.plans.security import queue_depth
 
     def lane(raw):
         return next((n for n, p in rules.LANES.items() if re.search(p, raw, re.I)), "COLD")
@@ -152,7 +152,7 @@ def test_queue_depth_counts_every_event(spark, data):
     queue = {}
     for r in raw_logs(spark, data).select("raw").collect():
         queue[lane(r.raw)] = queue.get(lane(r.raw), 0) + 1
-    assert {r.lane: r.pending for r in queue_depth_all(spark, data).collect()} == queue
+    assert {r.lane: r.pending for r in queue_depth(spark, data).collect()} == queue
     assert sum(queue.values()) == spark.read.parquet(f"{data}/events.parquet").count()
 
 
