@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwarden.functions.text import any_of, evaluated_once, literal_map
 from siftwarden.operators import catalog
-from siftwarden.operators.normalise import FINDING_COLUMNS, checked_small, first_rule
+from siftwarden.operators.normalise import FINDING_COLUMNS, first_rule
 from siftwarden.packs import frameworks, rules
 
 RULES, EMBEDDING, CROSSWALK, MODEL, BENIGN = "rules", "embedding", "crosswalk", "llm_fallback", "benign"
@@ -56,30 +56,26 @@ def frameworks_of(controls: Column) -> Column:
     return F.map_from_entries(F.filter(parts, lambda x: F.size(x["col2"]) > 0))
 
 
-def with_catalog(findings: DataFrame, walk: DataFrame, most: int = 10_000) -> DataFrame:
-    """Mappings whose NIST and HIPAA ids come from a loaded catalog (``catalog.crosswalk``) instead of the
-    built-in tables, and a column ``frameworks`` with the ids of all its frameworks, sorted.
+def with_catalog(findings: DataFrame, walk: DataFrame) -> DataFrame:
+    """Mappings whose NIST and HIPAA ids come from a loaded catalog (``catalog.crosswalk``) instead of
+    the built-in tables, and a column ``frameworks`` with the ids of all its frameworks, sorted.
 
-    The catalog is reduced to the ids of the built-in controls; they become a literal, so their
-    number is checked. Beyond ``most`` ids, join with ``catalog.expanded``.
+    Findings share few different sets of controls. The catalog is expanded once per set, by
+    joins of any size, and findings look their set up. They are read twice for that, so store
+    them first where their columns are costly.
     """
     spark = walk.sparkSession
     controls = spark.createDataFrame([(c,) for c in frameworks.CONTROLS], "control_id string")
-    rows = checked_small(catalog.expanded(walk, controls), most).collect()
-    held: dict[str, dict[str, list[str]]] = {}
-    for r in rows:
-        held.setdefault(r.framework, {}).setdefault(r.control_id, []).append(r.ext_id)
     m, none = F.col("mapping"), F.array().cast("array<string>")
-
-    def ids(framework: str) -> Column:
-        if framework not in held:
-            return none
-        table = literal_map(held[framework])
-        return F.array_sort(F.array_distinct(F.flatten(F.transform(m["control_ids"], lambda c: F.coalesce(table[c], none)))))
-
-    nist = F.when(F.size(ids("nist_csf")) > 0, ids("nist_csf")).otherwise(ids("nist_80053"))
-    every = F.array(*(F.struct(F.lit(f).alias("k"), ids(f).alias("v")) for f in sorted(held))) if held else F.array().cast("array<struct<k:string,v:array<string>>>")
-    return findings.withColumns({"mapping": m.withField("nist_subcategories", nist).withField("hipaa_sections", ids("hipaa")), "frameworks": F.map_from_entries(F.filter(every, lambda x: F.size(x["v"]) > 0))})
+    keyed = findings.withColumn("_set", F.array_join(F.array_sort(m["control_ids"]), ","))
+    sets = keyed.select("_set").where("_set <> ''").distinct()
+    pairs = sets.select("_set", F.explode(F.split("_set", ",")).alias("control_id")).join(catalog.expanded(walk, controls), "control_id")
+    ids = pairs.groupBy("_set", "framework").agg(F.array_sort(F.collect_set("ext_id")).alias("ids"))
+    maps = ids.groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("framework", "ids"))).alias("frameworks"))
+    out = keyed.drop("frameworks").join(maps, "_set", "left").drop("_set")
+    held = F.coalesce("frameworks", F.create_map().cast("map<string,array<string>>"))
+    nist = F.coalesce(held["nist_csf"], held["nist_80053"], none)
+    return out.withColumn("frameworks", held).withColumn("mapping", m.withField("nist_subcategories", nist).withField("hipaa_sections", F.coalesce(F.col("frameworks")["hipaa"], none)))
 
 
 def rationale(most: int = 3) -> Column:
