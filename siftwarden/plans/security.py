@@ -238,7 +238,7 @@ def numbered_prompts(spark, folder):
 
 
 def graph_hashes(spark, folder):
-    return graphs.checked_hash(table(spark, folder, "sample_bundle").where("manifest is not null"))
+    return graphs.checked_hash(table(spark, folder, "sample_bundle").where("manifest is not null and graph is not null"))
 
 
 def bundle_sample(spark, folder):
@@ -345,8 +345,9 @@ def redaction_counts(spark, folder):
 
 
 def redaction_round_trip(spark, folder):
+    """Texts redacted by all rules and put back: as they were."""
     found = redaction.redact(table(spark, folder, "analyze_request"), "request_id", "raw_log", health_mode=True)
-    return found.select("request_id", "redacted", redaction.rehydrate(F.col("redacted"), F.col("tokens")).alias("restored"))
+    return found.select("request_id", redaction.rehydrate(F.col("redacted"), F.col("tokens")).alias("restored"))
 
 
 _NAMES = """lane_counts lane_drain_order request_lane_counts request_controls log_type_counts entity_extract signal_matrix control_hits ioc_join known_cve_hits
@@ -579,6 +580,10 @@ ORACLES = {
     "narrative_gate": _F + f"x AS (SELECT {_SEVERITY} AS severity FROM f) SELECT severity, severity IN ('critical', 'high') AS report, count(*) AS n FROM x GROUP BY ALL",
     "bundle_sample": "WITH n AS (SELECT manifest.bundle_id AS bundle_id, unnest(graph.nodes) AS n, generate_subscripts(graph.nodes, 1) AS pos FROM sample_bundle), f AS (SELECT bundle_id, n.id AS name, min(pos) AS pos FROM n WHERE n.id <> '' GROUP BY ALL), e AS (SELECT DISTINCT manifest.bundle_id AS bundle_id, unnest(graph.edges) AS e, generate_subscripts(graph.edges, 1) AS pos FROM sample_bundle) "
     "SELECT bundle_id, 'node' AS kind, row_number() OVER (PARTITION BY bundle_id ORDER BY pos) - 1 AS pos, name FROM f QUALIFY row_number() OVER (PARTITION BY bundle_id ORDER BY pos) <= 10 UNION ALL SELECT DISTINCT bundle_id, 'edge', pos - 1, coalesce(e.src, '') || ' -> ' || coalesce(e.dst, '') FROM e WHERE pos <= 10 AND e IS NOT NULL",
+    "graph_hashes": "WITH g AS (SELECT manifest.bundle_id AS bundle_id, manifest.graph_sha256 AS said, coalesce(manifest.signature, '') AS signature, sha256(CAST(to_json({'edges': list_transform(graph.edges, lambda e: CASE WHEN e IS NOT NULL THEN {'dst': e.dst, 'rel': e.rel, 'src': e.src} END), "
+    "'nodes': list_transform(graph.nodes, lambda n: CASE WHEN n IS NOT NULL THEN {'framework': n.framework, 'id': n.id, 'label': n.label, 'props': map_from_entries(list_sort(map_entries(n.props))), 'type': n.type} END)}) AS VARCHAR)) AS own FROM sample_bundle WHERE manifest IS NOT NULL AND graph IS NOT NULL) "
+    "SELECT bundle_id, own AS sha256, coalesce(own = said, false) AS agrees, coalesce(own = said, false) AND signature IN ('', 'STUB', 'STUBBED') AS verified, CASE WHEN coalesce(said, '') = '' THEN 'no graph_sha256 in manifest' WHEN own <> said THEN 'graph hash mismatch' END AS error FROM g",
+    "redaction_round_trip": "SELECT request_id, raw_log AS restored FROM analyze_request",
     "frameworks_present": _SCF + " SELECT DISTINCT framework FROM w",
     "timeline_recent": _F + _FT + " SELECT event_seq, log_type FROM t ORDER BY event_seq DESC LIMIT 10000",
     "numbered_prompts": f"SELECT event_seq // 6 AS batch, string_agg('[' || (event_seq % 6 + 1) || '] ' || substr(raw, 1, 1500), chr(10) ORDER BY event_seq) AS prompt FROM ({_TYPED}) GROUP BY 1",

@@ -52,7 +52,7 @@ def mapping_catalog(spark, folder):
     walk = catalog.crosswalk(table(spark, folder, "scf_sample"))
     m = F.col("mapping")
     rows = mapping.with_catalog(sec._resolved(spark, folder), walk)
-    return rows.groupBy(F.array_join(F.array_sort(m["control_ids"]), ",").alias("controls"), F.array_join(m["nist_subcategories"], ",").alias("nist"), F.array_join(m["hipaa_sections"], ",").alias("hipaa"), F.array_join(F.array_sort(F.map_keys("frameworks")), ",").alias("frameworks")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.array_join(F.array_sort(m["control_ids"]), ",").alias("controls"), F.size(m["nist_subcategories"]).alias("n_nist"), F.get(m["nist_subcategories"], F.lit(0)).alias("first_nist"), F.size(m["hipaa_sections"]).alias("n_hipaa"), F.array_join(F.array_sort(F.map_keys("frameworks")), ",").alias("frameworks")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def scf_nist_fallback(spark, folder):
@@ -419,8 +419,8 @@ ORACLES = {
     "mapping_rationale": _F + f"{_NAMES_DIM}, o AS (SELECT event_seq, unnest(rule_controls) AS control_id, generate_subscripts(rule_controls, 1) AS pos FROM f), n3 AS (SELECT event_seq, string_agg(title, ', ' ORDER BY pos) AS l FROM o JOIN names USING (control_id) WHERE pos <= 3 GROUP BY 1), "
     f"x AS (SELECT CASE WHEN len(rule_controls) > 0 THEN 'keyword/signature rules matched ' || l || '; NIST/HIPAA expanded via the deterministic crosswalk table.' WHEN {sec._RISKY} THEN 'No rule/embedding match but risk signals are present — escalating to LLM fallback for a reviewable suggestion (non-authoritative).' ELSE 'No rule or embedding match and no deterministic risk signals — treated as benign (no applicable control); LLM not consulted.' END AS rationale FROM f LEFT JOIN n3 USING (event_seq)) SELECT rationale, count(*) AS n FROM x GROUP BY 1",
     "mapping_catalog": _EXPANDED.replace("WITH ", f"WITH {sec._finding_sql(sec._TYPED)}, ".replace("low AS (SELECT", "lo AS (SELECT").replace("FROM low)", "FROM lo)"), 1)
-    + ", sets AS (SELECT event_seq, list_sort(rule_controls) AS cs FROM f), u AS (SELECT DISTINCT cs FROM sets), e AS (SELECT cs, unnest(cs) AS control_id FROM u), g AS (SELECT DISTINCT cs, framework, ext_id FROM e JOIN x USING (control_id)), a AS (SELECT cs, string_agg(ext_id, ',' ORDER BY ext_id) FILTER (framework = 'nist_csf') AS nist, string_agg(ext_id, ',' ORDER BY ext_id) FILTER (framework = 'hipaa') AS hipaa, string_agg(DISTINCT framework, ',' ORDER BY framework) AS frameworks FROM g GROUP BY 1) "
-    "SELECT array_to_string(cs, ',') AS controls, coalesce(nist, '') AS nist, coalesce(hipaa, '') AS hipaa, coalesce(frameworks, '') AS frameworks, count(*) AS n FROM sets LEFT JOIN a USING (cs) GROUP BY ALL",
+    + ", sets AS (SELECT event_seq, list_sort(rule_controls) AS cs FROM f), u AS (SELECT DISTINCT cs FROM sets), e AS (SELECT cs, unnest(cs) AS control_id FROM u), g AS (SELECT DISTINCT cs, framework, ext_id FROM e JOIN x USING (control_id)), a AS (SELECT cs, count(*) FILTER (framework = 'nist_csf') AS n_nist, min(ext_id) FILTER (framework = 'nist_csf') AS first_nist, count(*) FILTER (framework = 'hipaa') AS n_hipaa, string_agg(DISTINCT framework, ',' ORDER BY framework) AS frameworks FROM g GROUP BY 1) "
+    "SELECT array_to_string(cs, ',') AS controls, coalesce(n_nist, 0)::INT AS n_nist, first_nist, coalesce(n_hipaa, 0)::INT AS n_hipaa, coalesce(frameworks, '') AS frameworks, count(*) AS n FROM sets LEFT JOIN a USING (cs) GROUP BY ALL",
     "scf_nist_fallback": _EXPANDED.replace("'nist_csf' AS framework, unnest(regexp_split_to_array(coalesce(nist_csf_v2_0, '')", "'nist_csf' AS framework, unnest(regexp_split_to_array(coalesce(CASE WHEN CAST(nullif(regexp_extract(cis_csc_v8_1, '(\\d{1,2})', 1), '') AS INT) < 8 THEN nist_csf_v2_0 END, '')")
     + ", n AS (SELECT control_id, string_agg(ext_id, ',' ORDER BY ext_id) FILTER (framework = 'nist_csf') AS a, string_agg(ext_id, ',' ORDER BY ext_id) FILTER (framework = 'iso_27001') AS b FROM x GROUP BY 1) SELECT control_id, coalesce(a, b, '') AS nist FROM d LEFT JOIN n USING (control_id)",
     "severity_clamps": "WITH x AS (SELECT CASE event_id % 4 WHEN 0 THEN 'high' WHEN 2 THEN 'critical' ELSE 'medium' END AS severity, CASE WHEN event_id % 3 = 0 THEN greatest(0, least(100, CAST(trunc(value) AS BIGINT))) WHEN event_id % 3 = 1 THEN 0 ELSE greatest(0, least(100, CAST(trunc(-value) AS BIGINT))) END AS risk_score FROM events) SELECT severity, risk_score::INT AS risk_score, count(*) AS n FROM x GROUP BY ALL",
