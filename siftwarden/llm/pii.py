@@ -138,7 +138,7 @@ class Finder:
                     continue
                 elif kind == "given":
                     if (m := _FAMILY_AFTER.match(joined, end)) and m[1].lower() not in NO_FAMILY and not _NO_NAME.search(m[0]):
-                        out.append((start, m.end(), NAME))
+                        out.append((start, m.end(), LISTED))
                 elif not joined[end : end + 1].isalnum():
                     if span := self._listed(joined, start, end):
                         out.append(span)
@@ -150,10 +150,14 @@ class Finder:
     def _listed(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
         """The full name around a listed family name; a family name alone is no person."""
         before = _GIVEN_BEFORE.search(text, max(0, start - 48), start)
-        if before and not _NO_NAME.search(before[1]) and before[1].lower() not in _COMMON:
-            return before.start(1), end, NAME
+        if before and not _NO_NAME.search(before[1]):
+            first, _, initial = before[1].rstrip().partition(" ")
+            if first.lower() not in _COMMON:
+                return before.start(1), end, LISTED
+            if initial:  # a title or label before the initial is no given name
+                return before.start(1) + len(first) + 1, end, LISTED
         if after := _GIVEN_AFTER.match(text, end):
-            return start, after.end(), NAME
+            return start, after.end(), LISTED
         return None
 
     def _with_candidates(self, text: str, settled: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -176,12 +180,14 @@ _BIRTH = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\
 _GIVEN_BEFORE = re.compile(rf"(?<![\w.])({_N} (?:[{_UP}]\. )?|[{_UP}]\. )$")
 _GIVEN_AFTER = re.compile(rf", {_N}(?: [{_UP}]\.(?!\w))?(?!\w)")
 _NO_NAME = re.compile(r"\d")
-_COMMON = {x + " " for x in "the herr frau mme mr dr ms mrs von der die das el la le les los las am im in an and und y et patient caller anrufer konto account".split()}
+_COMMON = set("the von der die das el la le les los las am im in an and und y et konto account user".split()) | {w.split()[-1].strip(".:=") for w in TITLES + NAME_LABELS}
+#: A name that a list tells, not a label; it gives way to all that is told by its context.
+LISTED = "listed"
 
 
 def _settle(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Drops overlaps: the kind that is told by more context wins, then the longer span."""
-    rank = {EMAIL: 0, ADDRESS: 1, ID: 2, BIRTH_DATE: 3, PHONE: 4, NAME: 5}
+    rank = {EMAIL: 0, ADDRESS: 1, ID: 2, BIRTH_DATE: 3, PHONE: 4, NAME: 5, LISTED: 6}
     kept: list[tuple[int, int, str]] = []
     by_start = sorted(set(spans), key=lambda s: (rank[s[2]], s[0] - s[1], s[0]))
     taken: list[tuple[int, int]] = []
@@ -191,7 +197,7 @@ def _settle(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
             continue
         taken.insert(i, (s[0], s[1]))
         kept.append(s)
-    return sorted(kept)
+    return sorted((a, b, NAME if kind == LISTED else kind) for a, b, kind in kept)
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:

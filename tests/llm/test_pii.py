@@ -104,6 +104,13 @@ def test_names_without_label_or_list():
     assert found("Victoria Street closed; maria gonzalez; Jan January; Robert's rules; daniel@x") == []
 
 
+def test_labels_and_titles_are_no_given_names():
+    for label in ("Anrufer", "Patient", "Herr", "Mme", "Caller"):
+        assert found(f"x - {label} K. Thibrimann war vor Ort") == [("name", "K. Thibrimann")]
+        assert found(f"x - {label} Thibrimann, Hiobri war vor Ort") == [("name", "Thibrimann, Hiobri")]
+    assert found("the Patient Thibrimann portal") == []
+
+
 def test_short_families_are_listed():
     finder = pii.Finder((("Anna", "Lee"), ("Wei", "Ng"), ("No", None)))
     assert [v for *_, v in pii.find_batch(finder, ["login by Anna Lee on host; Ng, Wei; Wei Ng; the Lee side; Leeds"])] == ["Anna Lee", "Ng, Wei", "Wei Ng"]
