@@ -257,7 +257,7 @@ STOPWORDS = {
     "en": "the and was were with from that this which for has have had been are is by although because what who how should of to on it its their they would could after before into only not without then please yet as at an or than near between if while there once until took opened within times since through under over about each other both more most found kept linked fired failed remains reported expires asked needs still against".split(),
     "de": "der die das und ist war wurde mit von dem den des ein eine einen einem für auf nicht sich auch nach bei aus zu zur zum im am als wird werden haben hat sind obwohl weil nachdem vor über unter durch noch keine diesem dieser diesen dieses diese bis bitte wir um an soll falls ab genau rund".split(),
     "fr": "le la les des du et est était une un avec pour dans par sur que qui au aux ce cette ces pas ne sont ont été sans mais ou sa son ses leur depuis après avant même quand plus d l s c n a à de en nous merci entre doit se".split(),
-    "es": "el la los las del y es era una un con para en por que se al lo su sus no pero aunque sin desde hasta entre sobre tras como más está están fue ha han este esta estos tiene antes a de hacia según conviene debe hemos cerca falta".split(),
+    "es": "el la los las del y es era una un con para en por que se al lo su sus no pero aunque sin desde hasta entre sobre tras como más está están fue ha han este esta estos tiene antes a de hacia según conviene debe hemos cerca falta todo toda todos todas sigue siguen cada muy también puede solo ya cuando donde porque".split(),
     "pt": "o os as um uma uns umas do da dos das no na nos nas ao aos à às e é foi são está não com para por pelo pela que se mais mas como em entre sobre após antes já sem embora então ou seu sua isso esta este foram pois de a".split(),
     "it": "il lo la i gli le un una uno di del della dei delle degli al alla ai alle e è sono era con per da dal dalla in nel nella nei su sul sulla che non si più ma come anche dopo prima già senza tra fra questo questa ha hanno stato stata perché quindi".split(),
     "nl": "de het een en is was zijn waren met van voor op in te om bij uit naar door over niet ook nog maar als dat die deze dit werd wordt hebben heeft omdat terwijl na tot geen meer vanaf onder er".split(),
@@ -268,7 +268,7 @@ STOPWORDS = {
     "cs": "a v z na do od po pro při se si je jsou byl byla bylo byly že který která které ten ta to jak ale o za ze pod před už jen také jeho její jejich protože když není podle".split(),
     "tr": "ve bir bu ile için da de olarak çok daha ama gibi kadar sonra önce her değil olan oldu ise veya göre".split(),
 }
-LETTERS = {"ja": "", "de": "ßäöü", "fr": "èêœçàùûîâ", "es": "ñ¿¡óíáú", "pt": "ãõçáéíóâê", "it": "òìàùè", "pl": "ąćęłńśźż", "sv": "åäö", "da": "æøå", "cs": "ěščřžýů", "tr": "ğışç", "fi": "äö", "nl": "ĳ"}
+LETTERS = {"ja": "", "de": "ßäöü", "fr": "éèêœçàùûîâ", "es": "ñ¿¡óíáéú", "pt": "ãõçáéíóâê", "it": "òìàùè", "pl": "ąćęłńśźż", "sv": "åäö", "da": "æøå", "cs": "ěščřžýů", "tr": "ğışç", "fi": "äö", "nl": "ĳ"}
 _VOTES: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words:
@@ -318,7 +318,7 @@ def language(text: str) -> str:
     return best if found[best] > 0 else ""
 
 
-def is_other_language(asked: str, prose: str, least: float = 1.0, lead: float = 1.5) -> bool:
+def is_other_language(asked: str, prose: str, least: float = 0.5, lead: float = 1.5) -> bool:
     """True if the votes of another language are ``lead`` times those of the one asked for."""
     found = votes(prose)
     best = max(found.values())

@@ -104,3 +104,10 @@ def test_answers_of_any_depth_are_read():
     assert pairs.defect(PROMPT, deep) == "refusal"
     assert pairs.defect(PROMPT, '{"a": ' * 50_000 + "{}" + "}" * 50_000) == "empty"
     assert pairs.defect("Answer in English. " + '{"a":' * 50_000, GOOD) is None
+
+
+def test_short_prose_has_a_language():
+    ask = 'Assess the finding. Answer in English. {"a": 1}'
+    assert pairs.defect(ask, '{"rationale": "CVE-2099-13011 sigue abierta en 4 nodos, sobre todo vpn-63."}') == "other_language"
+    assert pairs.defect('Évaluez le constat. Répondez en français. {"a": 1}', "La technique T1199.006 correspond aux 107 événements de fw-edge89.") is None
+    assert pairs.defect(ask, "CVE-2099-13011 open, vpn-63.") is None
