@@ -90,10 +90,20 @@ TASKS = {
 }
 
 
-def prompt(agent: str) -> Column:
-    """Instruction and finding as compact JSON, cut at MOST_PROMPT characters."""
+MOST_EVIDENCE, MOST_CONTENT = 4, 400
+
+
+def prompt(agent: str, retrieved: Column | None = None, evidence: Column | None = None) -> Column:
+    """Instruction and context as compact JSON, cut at MOST_PROMPT characters: the finding,
+    controls that were retrieved for it, and the first pieces of evidence (texts, each cut too)."""
     finding = F.struct("log_type", F.col("signals"), F.col("candidate_controls"), F.col("entities"))
-    return F.concat(F.lit(TASKS[agent] + "\n"), F.substring(F.to_json(F.struct(finding.alias("finding"))), 1, MOST_PROMPT))
+    parts = [finding.alias("finding")]
+    if retrieved is not None:
+        parts.append(F.when(F.size(retrieved) > 0, retrieved).alias("retrieved_controls"))
+    if evidence is not None:
+        cut = F.transform(F.slice(evidence, 1, MOST_EVIDENCE), lambda x: F.substring(x, 1, MOST_CONTENT))
+        parts.append(F.when(F.size(evidence) > 0, cut).alias("evidence"))
+    return F.concat(F.lit(TASKS[agent] + "\n"), F.substring(F.to_json(F.struct(*parts)), 1, MOST_PROMPT))
 
 
 # -- answers --------------------------------------------------------------------------------
@@ -178,9 +188,42 @@ def mapped_output(output: Column) -> Column:
     return F.struct(ids.alias("control_ids"), nist.alias("nist_subcategories"), mapping.valid(F.coalesce(held["hipaa_sections"], none), list(frameworks.HIPAA)).alias("hipaa_sections"))
 
 
-def numbered_batches(logs: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
-    """Logs in numbered groups of ``size`` for one prompt each: (batch, prompt). The key is a
+ASSESS_TASK = "Judge each numbered log line on its own: malicious, suspicious or benign, a severity, one sentence of reasoning and one step to contain it. Answer with one JSON object that holds a list assessments of n, verdict, severity, reasoning, remediation."
+ASSESSED_SCHEMA = "batch bigint, n int, verdict string, severity string, reasoning string, remediation string, source string, error string"
+
+
+def _assess(make: Callable[[], Client] | None):
+    names = [x.split()[0] for x in ASSESSED_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.int32(), *[pa.string()] * 6]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = make() if make else None
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value, source, _, error = with_retries(client, f"{ASSESS_TASK}\n{text}") if client else ({}, "mock", "", None)
+                listed = value.get("assessments")
+                found = [x for x in listed if isinstance(x, dict)] if isinstance(listed, list) else []
+                for x in found or [{}]:
+                    n = x.get("n")
+                    told = [None if x.get(c) is None else str(x[c]) for c in names[2:6]]
+                    rows.append((key, n if isinstance(n, int) else None, *told, source, error))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return go
+
+
+def assessed(logs: DataFrame, key: str, text: str, make_client: Callable[[], Client] | None = None, size: int = 6) -> DataFrame:
+    """ASSESSED_SCHEMA: a model's own view of raw logs, ``size`` of them per call, numbered from 1.
+    A call without a readable answer gives one row that names its source and error."""
+    return numbered_batches(logs, key, text, size, 600).mapInArrow(_assess(make_client), ASSESSED_SCHEMA)
+
+
+def numbered_batches(logs: DataFrame, key: str, text: str, size: int = 6, most: int = 1500) -> DataFrame:
+    """Logs, cut at ``most`` characters, in numbered groups of ``size`` for one prompt each: (batch,
+    prompt). The key is a
     dense sequence number, so groups come from arithmetic instead of a global sort."""
-    numbered = logs.select(F.floor(F.col(key) / size).alias("batch"), (F.col(key) % size + 1).alias("k"), F.substring(text, 1, 1500).alias("t"))
+    numbered = logs.select(F.floor(F.col(key) / size).alias("batch"), (F.col(key) % size + 1).alias("k"), F.substring(text, 1, most).alias("t"))
     held = F.sort_array(F.collect_list(F.struct("k", "t")))
     return numbered.groupBy("batch").agg(F.array_join(F.transform(held, lambda x: F.concat(F.lit("["), x["k"].cast("string"), F.lit("] "), x["t"])), "\n").alias("prompt"))

@@ -15,7 +15,7 @@ def analyze(logs_df: DataFrame, hint: str | None = None, force_llm: bool = False
     """Findings with mapping and verdict for logs with a column ``raw``.
 
     ``agents`` lists what would run: the mapper only for undecided findings, the report only
-    when chosen, forced, or from a severity on.
+    when chosen, forced, or from a severity on; ``skipped_agents`` are the others.
     """
     resolved = mapping.resolve(normalise.normalise(logs_df, hint))
     s, d = normalise.severity_score(), mapping.decision()
@@ -27,7 +27,9 @@ def analyze(logs_df: DataFrame, hint: str | None = None, force_llm: bool = False
     }
     run = F.array_compact(F.array(*(F.when(gates[a], a) for a in agents.selected(chosen))))
     content = F.concat(F.col("raw"), F.coalesce(F.col("event_seq").cast("string"), F.lit(""))) if "event_seq" in logs_df.columns else F.col("raw")
-    return out.withColumn("agents", run).withColumn("finding_id", F.concat(F.lit("F-"), F.substring(F.sha2(content, 256), 1, 12)))
+    wanted = F.array(*(F.lit(a) for a in agents.selected(chosen)))
+    out = out.withColumns({"agents": run, "skipped_agents": F.array_except(wanted, run), "raw_excerpt": F.substring("raw", 1, 600)})
+    return out.withColumn("finding_id", F.concat(F.lit("F-"), F.substring(F.sha2(content, 256), 1, 12)))
 
 
 def analyze_text(spark: SparkSession, raw: str, hint: str = "auto", **options) -> DataFrame:
@@ -68,20 +70,59 @@ def timeline(findings: DataFrame, most: int = 10_000) -> DataFrame:
     return metrics.last_n(findings.select("event_seq", "finding_id", "log_type", "severity"), most, ["event_seq"])
 
 
+def recent(findings: DataFrame, most: int = 50) -> DataFrame:
+    """The newest analysed findings."""
+    return metrics.last_n(findings.select("event_seq", "finding_id", "log_type", "severity", "risk_score", "decision"), most, ["event_seq"])
+
+
+def assess(logs_df: DataFrame, make_client=None, key: str = "event_seq", text: str = "raw") -> DataFrame:
+    """A model's own view of raw logs, several per call."""
+    return agents.assessed(logs_df, key, text, make_client)
+
+
+def intel_refresh(feed: DataFrame) -> DataFrame:
+    """A feed as it takes effect: distinct lower-cased indicators, counted per kind."""
+    return feed.select("kind", F.lower("value").alias("value")).where("value <> ''").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bundle_load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Bundles of a file or folder, checked and summarised."""
+    return bundle_status(logs.bundles(spark, path))
+
+
 def bundle_status(bundles: DataFrame) -> dict[str, DataFrame]:
     return {"counts": graphs.type_counts(bundles), "sample": graphs.sample(bundles), "hashes": graphs.checked_hash(bundles)}
 
 
+def ops(findings: DataFrame, latency: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Counters of detections and, with a frame (name, value, seq), latency summaries per name."""
+    out = {"counters": metrics.counters(normalise.alerts(findings, "event_seq"), "detections_total", "rule")}
+    if latency is not None:
+        out["latency"] = metrics.latency_summary(latency, "value", ["name"], ["seq"])
+    return out
+
+
+def metrics_text(findings: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """The same as lines of the usual exposition format."""
+    held = ops(findings, latency)
+    lines = metrics.exposition(held["counters"])
+    return lines if latency is None else lines.unionByName(metrics.quantile_lines(held["latency"], "latency", "name"))
+
+
 def health(stores: dict[str, DataFrame]) -> dict[str, dict]:
     """Probes each store; a failing probe is reported, not raised."""
     out = {}
     for name, df in stores.items():
-        try:
-            out[name] = {"ok": sinks.non_empty(df)}
-        except Exception as e:  # noqa: BLE001
-            out[name] = {"ok": False, "error": str(e)[:200]}
+        ok, reason = sinks.Probe(lambda df=df: df)()
+        out[name] = {"ok": ok} | ({"error": reason} if reason.startswith("error") else {})
     return out
 
 
+def health_table(spark: SparkSession, stores: dict[str, DataFrame]) -> DataFrame:
+    """The probes as rows: (store, ok, error)."""
+    rows = [(name, x["ok"], x.get("error")) for name, x in health(stores).items()]
+    return spark.createDataFrame(rows, "store string, ok boolean, error string")
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> dict:
     return sinks.backup(tables, path)

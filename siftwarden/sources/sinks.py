@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,23 @@ def non_empty(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+class Probe:
+    """Whether a store can answer, with the reason where it cannot; asked again after ``keep`` seconds."""
+
+    def __init__(self, store: Callable[[], DataFrame], keep: float = 60.0) -> None:
+        self.store, self.keep = store, keep
+        self._at, self._held = 0.0, (False, "not asked")
+
+    def __call__(self) -> tuple[bool, str]:
+        if not self._at or time.monotonic() - self._at > self.keep:
+            try:
+                self._held = (True, "ok") if non_empty(self.store()) else (False, "empty")
+            except Exception as e:  # noqa: BLE001
+                self._held = (False, f"error: {str(e)[:200]}")
+            self._at = time.monotonic()
+        return self._held
+
+
 def jdbc_append(rows: DataFrame, url: str, table: str, **options: str) -> None:
     """Appends to a relational store where a driver is at hand."""
     rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()

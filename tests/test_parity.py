@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from siftwarden import api
+from siftwarden import agents, api
 from siftwarden.operators import catalog, graphs, mapping, metrics, normalise, policy, redaction, scoring
 from siftwarden.packs import frameworks
 from siftwarden.sources import sinks
@@ -170,3 +170,42 @@ def test_hot_ids_as_a_stream(spark, tmp_path):
     q = pipeline.hot_ids(pipeline.file_envelopes(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("hot").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert [tuple(r) for r in spark.table("hot").collect()] == [("abcdef01", 2)]
+
+
+def test_models_assess_several_logs_per_call(spark):
+    df = spark.createDataFrame([(i, "x" * 700 if i == 1 else f"log {i}") for i in range(8)], "event_seq bigint, raw string")
+
+    def client():
+        def answer(text, t):
+            lines = text.split("\n")[1:]
+            assert all(len(x) <= 604 for x in lines)
+            return json.dumps({"assessments": [{"n": i + 1, "verdict": "benign", "severity": "low"} for i in range(len(lines))]}) if len(lines) > 2 else "no"
+
+        return answer
+
+    got = api.assess(df, client).collect()
+    assert sorted((r.batch, r.n) for r in got if r.source == "llm") == [(0, i) for i in range(1, 7)]
+    assert [(r.batch, r.source, r.error) for r in got if r.source != "llm"] == [(1, "fallback", "no_json")]
+    assert {r.source for r in api.assess(df).collect()} == {"mock"}
+
+
+def test_prompts_hold_controls_and_evidence(spark):
+    found = normalise.normalise(spark.createDataFrame([(0, "sudo")], "event_seq int, raw string"))
+    text = found.select(agents.prompt("risk_scorer", F.array(F.lit("Control 6")), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.repeat(F.lit("e"), 500))).alias("p")).collect()[0].p
+    body = json.loads(text.split("\n", 1)[1])
+    assert body["retrieved_controls"] == ["Control 6"] and [len(x) for x in body["evidence"]] == [400] * 4
+
+
+def test_probes_recent_ops_and_feeds(spark):
+    calls: list[int] = []
+    probe = sinks.Probe(lambda: calls.append(1) or spark.range(0), keep=100)
+    assert probe() == probe() == (False, "empty") and len(calls) == 1
+    assert sinks.Probe(lambda: spark.table("no_such_table"))()[1].startswith("error")
+    assert {tuple(r) for r in api.health_table(spark, {"a": spark.range(1), "b": spark.range(0)}).collect()} == {("a", True, None), ("b", False, None)}
+    found = api.analyze_batch(spark, ["mimikatz", "nothing"])
+    assert [r.event_seq for r in api.recent(found).orderBy("event_seq").collect()] == [0, 1]
+    assert {tuple(r) for r in found.select("event_seq", F.array_join("skipped_agents", ",")).collect()} == {(0, "compliance_mapper,remediation_generator,report_generator"), (1, "compliance_mapper,remediation_generator,report_generator")}
+    times = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2)], "name string, value double, seq int")
+    lines = {r.line for r in api.metrics_text(found, times).collect()}
+    assert 'detections_total{rule="malware_execution"} 1' in lines and 'latency_ms{name="a",quantile="0.99"} 3.0' in lines
+    assert {tuple(r) for r in api.intel_refresh(spark.createDataFrame([("ip", "A"), ("ip", "a"), ("ip", "")], "kind string, value string")).collect()} == {("ip", 1)}
