@@ -120,7 +120,9 @@ class Packer:
         for p in parts:
             over = sum(items[i][3] for i in p) - self.capacity
             if over > 0:
-                fit = min((i for i in p if items[i][3] >= over), key=lambda i: items[i][3])
+                fit = min((i for i in p if items[i][3] >= over), key=lambda i: items[i][3], default=None)
+                if fit is None:  # no single item makes room: more containers do
+                    return self.flush()
                 p.remove(fit)
                 waiting.append(fit)
         room = sorted((self.capacity - sum(items[i][3] for i in p), j) for j, p in enumerate(parts))

@@ -75,7 +75,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Container of each document or piece."""
-    return packing.pack_documents(table(spark, folder, "documents"))
+    return packing.pack_documents(table(spark, folder, "documents", spread=True))
 
 
 def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
