@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 from siftwarden.streaming import pipeline
@@ -41,5 +42,9 @@ def test_verdict_cache_state(spark, tmp_path):
     feed(tmp_path / "in", [envelope(1, "sudo a"), envelope(2, "sudo b", 1), envelope(3, "sudo c", 25)])
     out = pipeline.cached_verdicts(pipeline.file_envelopes(spark, str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("cache").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    # State that expires by processing time keeps the query alive; it is stopped when all is out.
+    end = time.monotonic() + 180
+    while spark.table("cache").count() < 3 and time.monotonic() < end:
+        time.sleep(0.5)
+    q.stop()
     assert {(r.event_seq, r.leader_seq, r.is_hit) for r in spark.table("cache").collect()} == {(1, 1, False), (2, 1, True), (3, 3, False)}
