@@ -68,15 +68,30 @@ def read_json(raw: str | None) -> tuple[dict, str | None]:
     return {}, "no_json" if bare else "empty_response"
 
 
-REPAIRED_SCHEMA = "result_id bigint, value string, error string"
-
-
-def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, raw) batches into REPAIRED_SCHEMA."""
+def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, JSON object or null, text of those without) into (key, JSON, error)."""
     for batch in batches:
-        read = [read_json(x) for x in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pa.array([json.dumps(v, sort_keys=True) if e is None else None for v, e in read], pa.string()), pa.array([e for _, e in read], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["result_id", "value", "error"])
+        values, errors = batch.column(1).to_pylist(), []
+        for i, (value, raw) in enumerate(zip(values, batch.column(2).to_pylist(), strict=True)):
+            error = None
+            if value is None:
+                found, error = read_json(raw)
+                values[i] = json.dumps(found) if error is None else None
+            errors.append(error)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string()), pa.array(errors, pa.string())], ["_k", "_value", "error"])
+
+
+def repaired(rows: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, value, error): model answers as compact JSON objects with sorted keys.
+
+    Answers that are objects as they stand are read by the built-in parser; only the others go
+    through the repair. Empty answers and those without an object have a null value and an error.
+    """
+    doc = F.try_parse_json(raw)
+    whole = F.when(F.schema_of_variant(doc).startswith("OBJECT"), F.to_json(doc))
+    picked = rows.select(F.col(key).alias("_k"), whole.alias("_value"), F.when(whole.isNull(), F.col(raw)).alias("_raw"))
+    done = picked.mapInArrow(_repaired, f"_k {dict(rows.dtypes)[key]}, _value string, error string")
+    return done.select(F.col("_k").alias(key), F.to_json(F.try_parse_json("_value")).alias("value"), "error")
 
 
 # -- prompts --------------------------------------------------------------------------------

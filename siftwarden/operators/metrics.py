@@ -36,16 +36,19 @@ def latency_summary(rows: DataFrame, value: str, by: list[str], order: list[str]
     return agg.select(*by, *out, F.round(F.array_max("v"), digits).alias("max"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"), digits).alias("avg"))
 
 
-def drain_order(envelopes: DataFrame, seq: str = "event_seq", block: int = 100_000) -> DataFrame:
+def drain_order(envelopes: DataFrame, seq: str = "event_seq", block: int = 100_000, group: int = 1000) -> DataFrame:
     """Adds ``drain_pos``: HOT, then WARM, then COLD, first in first out inside a lane.
 
-    No task sees a lane as a whole: rows are numbered inside blocks of the sequence, and each
-    block is shifted by the counts of the blocks before it, one row per block.
+    No task sees a lane as a whole: rows are numbered inside blocks of the sequence, blocks are
+    shifted by the counts before them inside groups of blocks, and groups by the counts of the
+    groups before. Only the last step is one task, with a row per ``block * group`` numbers.
     """
     ranked = envelopes.withColumns({"_lane": lane_rank(F.col("lane")), "_block": F.floor(F.col(seq) / block)})
-    sizes = ranked.groupBy("_lane", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_lane", "_block").rowsBetween(Window.unboundedPreceding, -1))
-    shift = sizes.select("_lane", "_block", F.coalesce(before, F.lit(0)).alias("_s"))
+    sizes = ranked.groupBy("_lane", "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.floor(F.col("_block") / group))
+    inside = F.sum("_n").over(Window.partitionBy("_lane", "_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_g").over(Window.orderBy("_lane", "_group").rowsBetween(Window.unboundedPreceding, -1))
+    groups = sizes.groupBy("_lane", "_group").agg(F.sum("_n").alias("_g")).select("_lane", "_group", F.coalesce(before, F.lit(0)).alias("_before"))
+    shift = sizes.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(groups, ["_lane", "_group"]).select("_lane", "_block", (F.col("_before") + F.col("_inside")).alias("_s"))
     local = F.row_number().over(Window.partitionBy("_lane", "_block").orderBy(seq))
     return ranked.join(shift, ["_lane", "_block"]).withColumn("drain_pos", F.col("_s") + local).drop("_lane", "_block", "_s")
 

@@ -222,7 +222,7 @@ def narrative_gate(spark, folder):
 def json_repair(spark, folder):
     """Model answers read as JSON, as they are or repaired."""
     rows = table(spark, folder, "agent_results", spread=True).where("prompt is not null and raw is not null").select("result_id", "raw")
-    return rows.mapInArrow(agents.repaired, agents.REPAIRED_SCHEMA)
+    return agents.repaired(rows, "result_id", "raw")
 
 
 def agent_outputs(spark, folder):

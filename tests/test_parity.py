@@ -209,3 +209,20 @@ def test_probes_recent_ops_and_feeds(spark):
     lines = {r.line for r in api.metrics_text(found, times).collect()}
     assert 'detections_total{rule="malware_execution"} 1' in lines and 'latency_ms{name="a",quantile="0.99"} 3.0' in lines
     assert {tuple(r) for r in api.intel_refresh(spark.createDataFrame([("ip", "A"), ("ip", "a"), ("ip", "")], "kind string, value string")).collect()} == {("ip", 1)}
+
+
+def test_answers_are_read_whole_or_repaired(spark):
+    texts = ['{"b": 1, "a": [true, null]}', '```json\n{"b": 1, "a": [true, null]}\n```', 'text {"a": "é"} end', '{"a": 1, "a": 2}', '{"a": [{"b": "c', "[1]", "no", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "result_id bigint, raw string")
+    got = {r.result_id: (r.value, r.error) for r in agents.repaired(df, "result_id", "raw").collect()}
+    assert got[0] == got[1] == ('{"a":[true,null],"b":1}', None) and got[2] == ('{"a":"é"}', None) and got[3] == ('{"a":2}', None) and got[4] == ('{"a":[{"b":"c"}]}', None)
+    assert [got[i] for i in (5, 6, 7, 8)] == [(None, "no_json"), (None, "no_json"), (None, "empty_response"), (None, "empty_response")]
+
+
+@pytest.mark.parametrize(("block", "group"), [(2, 2), (3, 1), (100, 1000)])
+def test_drain_order_does_not_depend_on_blocks(spark, block, group):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["HOT", "WARM", "COLD"])) for i in range(0, 90, 3)]
+    want = {s: k for k, (s, _) in enumerate(sorted(rows, key=lambda r: (["HOT", "WARM", "COLD"].index(r[1]), r[0])), 1)}
+    got = metrics.drain_order(spark.createDataFrame(rows, "event_seq bigint, lane string"), block=block, group=group)
+    assert {r.event_seq: r.drain_pos for r in got.collect()} == want
