@@ -137,7 +137,7 @@ _QUOTE_MARK = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
 
 
 def _bare(text: str) -> str:
-    return re.sub(r"\s+", "", _QUOTE_MARK.sub("", text)).lower()
+    return "".join((_QUOTE_MARK.sub("", text) if ">" in text else text).split()).lower()
 
 
 LEAST = 24
@@ -173,18 +173,20 @@ def is_copy(prompt: str, variants: list[str], share: float = 0.9) -> bool:
     """
     bare = _bare(prompt)
     half = LEAST // 2
+    span = None
+    if len(bare) >= LEAST and (cut := deepjson.first_object(prompt)) and cut[1] - cut[0] > LEAST:
+        head = len(_bare(prompt[: cut[0]]))
+        span = (head, head + len(_bare(prompt[cut[0] : cut[1]])))
+    must = share * min(len(bare), span[1] - span[0] if span else len(bare))
     for variant in variants:
+        if 2 * len(variant) < must:  # lower case has at most twice as many characters
+            continue
         answer = _bare(variant)
         if len(bare) < LEAST:
             # Too short for runs: the answer is the prompt and hardly anything else.
             if bare in answer and len(bare) >= share * len(answer):
                 return True
             continue
-        span = None
-        if (cut := deepjson.first_object(prompt)) and cut[1] - cut[0] > LEAST:
-            head = len(_bare(prompt[: cut[0]]))
-            span = (head, head + len(_bare(prompt[cut[0] : cut[1]])))
-        must = share * min(len(bare), span[1] - span[0] if span else len(bare))
         if len(answer) < must:
             continue
         blocks = sum(bare[i : i + half] in answer for i in range(0, len(bare) - half + 1, half))
@@ -292,7 +294,7 @@ def votes(text: str) -> dict[str, float]:
     """Votes per language; a word or letter of several languages is shared between them."""
     low = text.lower()
     if _CODED.search(low):
-        low = " ".join(w for w in low.split() if not _CODED.search(w))
+        low = " ".join(w for w in low.split() if w.isalpha() or not _CODED.search(w))
     out = dict.fromkeys(STOPWORDS, 0.0)
     for w in _WORD.findall(low):
         if w in _VOTES:
