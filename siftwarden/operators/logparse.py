@@ -148,6 +148,8 @@ VERSIONED, PRIORITY, LETTER_TIME, TIME, YEARLESS, CLIENT, FIRST, LEVEL_NAME, LET
 LEVEL, WEAK, NUMBER, SKIP, BRACKET_LEVEL, MODULE_LEVEL, BRACKET_NAME, NAMED, HOSTED, FILE, DOTTED, SLASH_LEVEL, PIPED, LETTER, SEPARATOR, WORD = (
     "level weak-level number skipped bracket-level module-level bracket-name name host-name file dotted-name name-level pair letter separator word".split()
 )
+_HOSTS = ((HOSTED, _HOSTED),)
+_NAMES = ((SLASH_LEVEL, _SLASH_LEVEL), (NAMED, _NAMED), *_HOSTS, (DOTTED, _DOTTED))
 #: Tokens of a header that are typed.
 DEPTH = 10
 #: (type, what was matched, end).
@@ -219,7 +221,7 @@ def _next(line: str, at: int, before: list[Token]) -> Token:
         head, _, tail = inner.rpartition(":")
         kind = BRACKET_LEVEL if level_of(inner) else MODULE_LEVEL if head and level_of(tail) else SKIP if _SKIPPED.fullmatch(inner) else BRACKET_NAME
         return kind, m, m.end()
-    if m := _SEPARATOR.match(line, at):
+    if c in "|:,-–" and (m := _SEPARATOR.match(line, at)):
         return SEPARATOR, m, m.end()
     if last == YEARLESS and (m := _SYSLOG.match(line, at)):
         return HOSTED, m, m.end()
@@ -227,15 +229,16 @@ def _next(line: str, at: int, before: list[Token]) -> Token:
         return FILE, m, m.end()
     if last == SEPARATOR and line[before[-1][2] - 1] == "|" and (m := _PIPED.match(line, at)):
         return PIPED, m, m.end()
-    if m := _LEVEL_TOKEN.match(line, at):
+    named = c.isalpha() or c in "_$"
+    if named and (m := _LEVEL_TOKEN.match(line, at)):
         return LEVEL if m[1].isupper() or _PUNCTUATED.match(line, m.end()) else WEAK, m, m.end()
-    if m := _NUMBER_TOKEN.match(line, at):
+    if c in "0123456789pP" and (m := _NUMBER_TOKEN.match(line, at)):
         return SKIP if line[m.end() : m.end() + 1] == ":" else NUMBER, m, m.end()
-    for kind, pattern in ((SLASH_LEVEL, _SLASH_LEVEL), (NAMED, _NAMED), (HOSTED, _HOSTED), (DOTTED, _DOTTED)):
+    for kind, pattern in _NAMES if named else _HOSTS:
         if m := pattern.match(line, at):
             # A name that a dash follows is not closed as one with a colon is.
             return DOTTED if kind == NAMED and line[m.end() - 1] != ":" else kind, m, m.end()
-    if m := _LETTER.match(line, at):
+    if named and (m := _LETTER.match(line, at)):
         return LETTER, m, m.end()
     return WORD, None, at
 
