@@ -102,25 +102,29 @@ def outcomes(text: Column) -> dict[str, tuple[Column, Column]]:
 _SECTIONS = {"CFG-IAM-MFA": "iam_users", "CFG-S3-PUBLIC": "s3_buckets", "CFG-S3-ENC": "s3_buckets"}
 
 
-def _sentence(check: str, status: Column, evidence: Column) -> Column:
-    absent, passed, failed = SENTENCES[check]
+def _sentence() -> Column:
+    """A check's sentence from its id, status, evidence and number of items."""
+    evidence, status = F.col("evidence"), F.col("status")
     word = F.get(evidence, F.lit(0))
     value = F.when(word == "true", "True").when(word == "false", "False").when(word == "null", "None").otherwise(F.regexp_replace(word, '^"|"$', ""))
     names = F.concat(F.lit("["), F.array_join(F.transform(evidence, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    count = F.size(f"cfg.{_SECTIONS[check]}").cast("string") if check in _SECTIONS else F.lit("")
 
     def filled(sentence: str) -> Column:
-        parts = [{"{n}": count, "{v}": value, "{l}": names}.get(x, F.lit(x)) for x in re.split(r"({[nvl]})", sentence) if x]
+        parts = [{"{n}": F.col("n_items").cast("string"), "{v}": value, "{l}": names}.get(x, F.lit(x)) for x in re.split(r"({[nvl]})", sentence) if x]
         return F.concat(*parts)
 
-    return F.when(status == NA, absent).when(status == PASS, filled(passed)).otherwise(filled(failed))
+    out = F.lit(None).cast("string")
+    for check, (absent, passed, failed) in SENTENCES.items():
+        out = F.when(F.col("check_id") == check, F.when(status == NA, absent).when(status == PASS, filled(passed)).otherwise(filled(failed))).otherwise(out)
+    return out
 
 
 def evaluate(snapshots: DataFrame, key: str = "snapshot_id", text: str = "snapshot") -> DataFrame:
     """One row per snapshot and check: key, check_id, title, control_id, status, severity, evidence,
     evidence_text, frameworks (the control's ids by framework).
 
-    Text that is no JSON object has every check not assessed.
+    Text that is no JSON object has every check not assessed. Sentences and frameworks are made
+    after the checks are rows, so they cost nothing where nobody reads them.
     """
     parsed = snapshots.select(key, F.col(text).alias("_text"), F.from_json(text, SNAPSHOT_SCHEMA).alias("cfg"), F.try_parse_json(text).alias("doc"))
     rows = []
@@ -128,13 +132,15 @@ def evaluate(snapshots: DataFrame, key: str = "snapshot_id", text: str = "snapsh
     for check, title, control, severity in CHECKS:
         passed, evidence = found[check]
         status = F.when(passed.isNull(), NA).when(passed, PASS).otherwise(FAIL)
+        count = F.size(f"cfg.{_SECTIONS[check]}") if check in _SECTIONS else F.lit(0)
         rows.append(
             F.struct(
                 F.lit(check).alias("check_id"), F.lit(title).alias("title"), F.lit(control).alias("control_id"), status.alias("status"), F.when(status == FAIL, severity).otherwise("informational").alias("severity"),
-                F.when(status == NA, F.array().cast("array<string>")).otherwise(evidence).alias("evidence"), _sentence(check, status, evidence).alias("evidence_text"), mapping.frameworks_of(F.array(F.lit(control))).alias("frameworks"),
+                F.when(status == NA, F.array().cast("array<string>")).otherwise(evidence).alias("evidence"), count.alias("n_items"),
             )
         )
-    return parsed.select(key, F.explode(F.array(*rows)).alias("c")).select(key, "c.*")
+    out = parsed.select(key, F.explode(F.array(*rows)).alias("c")).select(key, "c.*")
+    return out.withColumns({"evidence_text": _sentence(), "frameworks": mapping.frameworks_of(F.array("control_id"))}).drop("n_items")
 
 
 def posture(results: DataFrame, key: str = "snapshot_id") -> DataFrame:
