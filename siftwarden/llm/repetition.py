@@ -132,7 +132,7 @@ def thresholds(measured: DataFrame, quantile: float = QUANTILE, floor: float = F
     languages with fewer that of all documents. The sketches are made once and merged for both.
     """
     q = share_name(quantile)
-    own = digests(measured, ["lang", "source"], "share").withColumn("_all", F.lit(1))
+    own = checkpointed(digests(measured, ["lang", "source"], "share")).withColumn("_all", F.lit(1))  # read three times
 
     def cut(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
         return percentiles(sketches, keys, (quantile,), whole=False).select(*keys, F.when(F.col("n_values") >= least, F.col(q)).alias(name))
