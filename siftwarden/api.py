@@ -40,6 +40,23 @@ def analyze_batch(spark: SparkSession, raws: list[str], **options) -> DataFrame:
     return analyze(logs.batch(spark, raws), "hint", **options)
 
 
+def run_batch(spark: SparkSession, raws: list[str], mode: str = "direct") -> dict[str, DataFrame]:
+    """A batch of logs in one of two modes.
+
+    ``direct`` gives findings only. ``pipeline`` also gives what the bus would leave behind: alerts
+    of every rule, and a timeline of two rows per log, the normalised one without id and
+    severity and the one of the verdict.
+    """
+    if mode not in ("direct", "pipeline"):
+        raise ValueError(f"unknown mode {mode}")
+    found = analyze_batch(spark, raws)
+    if mode == "direct":
+        return {"findings": found}
+    steps = F.array(F.struct(F.lit("").alias("finding_id"), F.lit("").alias("severity")), F.struct("finding_id", "severity"))
+    rows = found.select("event_seq", "log_type", F.posexplode(steps).alias("step", "x")).select("event_seq", "step", "log_type", "x.finding_id", "x.severity")
+    return {"findings": found, "alerts": normalise.alerts(found, "event_seq"), "timeline": rows}
+
+
 def config_scan(snapshots: DataFrame, key: str = "snapshot_id", text: str = "snapshot") -> dict[str, DataFrame]:
     found = policy.evaluate(snapshots, key, text)
     return {"findings": found, "posture": policy.posture(found, key), "summary": policy.score(found, key)}

@@ -41,8 +41,11 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 35, key: str = "
     return ranked.where(F.col("_k") <= k).drop("_k")
 
 
-def reranked(found: DataFrame, score: Column, keep: int = 6, floor: float = 0.0, key: str = "vec_id", by: tuple[str, ...] = ()) -> DataFrame:
+def reranked(found: DataFrame, score: Column, keep: int = 6, floor: float = 0.0, key: str = "vec_id", by: tuple[str, ...] = (), once: str | None = None) -> DataFrame:
     """The best ``keep`` by the second score (of each group ``by``), then those whose first score
-    reaches the floor."""
+    reaches the floor. ``once``: of rows with the same value there, as a control, the best one only."""
     ranked = found.withColumn("rerank_score", score).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rerank_score"), key)))
-    return ranked.where((F.col("_k") <= keep) & (F.col("similarity") >= floor)).drop("_k")
+    kept = ranked.where((F.col("_k") <= keep) & (F.col("similarity") >= floor))
+    if once is not None:
+        kept = kept.withColumn("_o", F.row_number().over(Window.partitionBy(*by, once).orderBy("_k"))).where("_o = 1").drop("_o")
+    return kept.drop("_k")

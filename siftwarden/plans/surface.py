@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden import api
-from siftwarden.operators import catalog, graphs, mapping, metrics, normalise, policy, redaction, scoring
+from siftwarden.operators import catalog, graphs, mapping, metrics, normalise, policy, redaction, scoring, vectors
 from siftwarden.packs import frameworks, rules
 from siftwarden.plans import security as sec
 from siftwarden.plans.rawlogs import raw_logs, snapshots
@@ -98,6 +98,18 @@ def _verdicts(found: DataFrame) -> DataFrame:
     return found.select("event_seq", "severity", "risk_score", "is_anomaly", F.col("decision.decided_by").alias("decided_by"), F.array_join("mapping.control_ids", ",").alias("controls"))
 
 
+def api_pipeline(spark, folder):
+    """What the sample logs leave in the timeline in pipeline mode."""
+    rows = api.run_batch(spark, [raw for _, raw in logs.SAMPLES], "pipeline")["timeline"]
+    return rows.select("event_seq", "step", "severity", (F.col("finding_id") != "").alias("has_id"))
+
+
+def vector_controls(spark, folder):
+    """Controls (labels here) that the nearest vectors of every hundredth one stand for, once each."""
+    score = F.lit(100) - F.col("label") * 7 - F.col("vec_id") % 5
+    return vectors.reranked(sec._neighbours(spark, folder), score, floor=0.1, by=("query_id",), once="label").select("query_id", "vec_id", "label")
+
+
 def scan_lines(spark, folder):
     """Scan findings of the default services as log lines."""
     return api.scan(spark, "10.0.0.7").select("raw")
@@ -352,7 +364,7 @@ def stream_intel(spark, folder):
     return spark.read.parquet(out)
 
 
-_NAMES = """config_evidence config_frameworks mapping_rationale mapping_catalog scf_nist_fallback severity_clamps analyze_agents analyze_chosen api_batch api_single scan_lines redacted_findings rehydrated_findings
+_NAMES = """config_evidence config_frameworks mapping_rationale mapping_catalog scf_nist_fallback severity_clamps analyze_agents analyze_chosen api_batch api_single api_pipeline vector_controls scan_lines redacted_findings rehydrated_findings
  label_join verdict_zip replay_hot_groups eval_worst_missed load_levels ingest_summary routing_model_ms routing_rows engine_load latency_exposition node_lookup graph_load corpus_load
  read_lines read_blocks read_labels read_gold read_catalog_csv read_catalog_json read_bundles newest_release write_findings write_timeline write_backup write_report stream_verdicts stream_intel""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -428,6 +440,8 @@ ORACLES = {
     "analyze_chosen": "SELECT 'risk_scorer,report_generator' AS agents, count(*) AS n FROM events",
     "api_batch": _verdict_sql([raw for _, raw in logs.SAMPLES]),
     "api_single": _verdict_sql(["Failed password for invalid user x from 203.0.113.55"]),
+    "api_pipeline": "WITH v AS (" + _verdict_sql([raw for _, raw in logs.SAMPLES]) + ") SELECT event_seq, 0 AS step, '' AS severity, false AS has_id FROM v UNION ALL SELECT event_seq, 1, severity, true FROM v",
+    "vector_controls": f"WITH {sec._TOP}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 100 - label * 7 - vec_id % 5 DESC, vec_id) AS p FROM k) SELECT query_id, vec_id, label FROM r WHERE p <= 6 AND similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY p) = 1",
     "scan_lines": "SELECT raw FROM (VALUES " + ", ".join("(" + _q(f"Scan finding on 10.0.0.7: {s} vulnerable to {c} ({v}) — {t}") + ")" for s in rules.DEFAULT_SERVICES for g, c, v, t in rules.VULNERABILITIES if g.lower() in s.lower()) + ") AS t(raw)",
     "redacted_findings": _F + "x AS (SELECT event_seq, n_ioc::INT AS ioc_hit_count, array_to_string(list_filter([" + ", ".join(f"CASE WHEN len(list_filter({sec.rules.INDICATOR_ENTITY[k]}, lambda v: list_contains({sec._list([i.lower() for i in rules.INDICATORS[k]])}, lower(v)))) > 0 THEN '{k}' END" for k in sorted(rules.INDICATORS)) + "], lambda y: y IS NOT NULL), ',') AS kinds, array_to_string(cve_ids, ',') AS cves, len(source_ip)::INT AS n_ips FROM f) SELECT *, false AS leaks FROM x",
     "rehydrated_findings": _F + "x AS (SELECT 1) SELECT event_seq, array_to_string(source_ip, ',') AS ips, array_to_string(domains, ',') AS domains FROM f",

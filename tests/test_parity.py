@@ -226,3 +226,12 @@ def test_drain_order_does_not_depend_on_blocks(spark, block, group):
     want = {s: k for k, (s, _) in enumerate(sorted(rows, key=lambda r: (["HOT", "WARM", "COLD"].index(r[1]), r[0])), 1)}
     got = metrics.drain_order(spark.createDataFrame(rows, "event_seq bigint, lane string"), block=block, group=group)
     assert {r.event_seq: r.drain_pos for r in got.collect()} == want
+
+
+def test_batch_modes(spark):
+    raws = ["mimikatz", "nothing"]
+    assert set(api.run_batch(spark, raws)) == {"findings"}
+    got = api.run_batch(spark, raws, "pipeline")
+    assert [r.rule for r in got["alerts"].collect()] == ["malware_execution"] and got["timeline"].count() == 4
+    with pytest.raises(ValueError):
+        api.run_batch(spark, raws, "other")
