@@ -78,22 +78,28 @@ def with_catalog(findings: DataFrame, walk: DataFrame) -> DataFrame:
     return out.withColumn("frameworks", held).withColumn("mapping", m.withField("nist_subcategories", nist).withField("hipaa_sections", F.coalesce(F.col("frameworks")["hipaa"], none)))
 
 
+# The sentences of a rationale.
+MATCHED = "keyword/signature rules matched "
+ADDED = "embedding similarity added "
+EXPANDED = "NIST/HIPAA expanded via the deterministic crosswalk table"
+QUIET = "No rule or embedding match and no deterministic risk signals — treated as benign (no applicable control); LLM not consulted."
+ESCALATED = "No rule/embedding match but risk signals are present — escalating to LLM fallback for a reviewable suggestion (non-authoritative)."
+
+
 def rationale(most: int = 3) -> Column:
-    """Why a mapping is as it is: the first names of what matched. The wording is fixed."""
+    """Why a mapping is as it is: the first names of what matched by rule, the first further
+    controls that are near, and the crosswalk; or why there is none."""
     m = F.col("mapping")
     names = F.create_map(*(F.lit(x) for c, t in frameworks.CONTROLS.items() for x in (c, t)))
-    ruled = F.filter(m["control_ids"], lambda c: F.array_contains(m["provenance"][c], RULES))
-    near = F.filter(m["control_ids"], lambda c: ~F.array_contains(m["provenance"][c], RULES))
-    parts = F.array_compact(
-        F.array(
-            F.when(F.size(ruled) > 0, F.concat(F.lit("keyword/signature rules matched "), F.array_join(F.transform(F.slice(ruled, 1, most), lambda c: F.coalesce(names[c], c)), ", "))),
-            F.when(F.size(near) > 0, F.concat(F.lit("embedding similarity added "), F.array_join(F.slice(near, 1, most), ", "))),
-            F.lit("NIST/HIPAA expanded via the deterministic crosswalk table"),
-        )
-    )
-    quiet = "No rule or embedding match and no deterministic risk signals — treated as benign (no applicable control); LLM not consulted."
-    risky = "No rule/embedding match but risk signals are present — escalating to LLM fallback for a reviewable suggestion (non-authoritative)."
-    return F.when(F.size(m["control_ids"]) > 0, F.concat(F.array_join(parts, "; "), F.lit("."))).when(m["benign"], quiet).otherwise(risky)
+    by_rule = F.filter(m["control_ids"], lambda c: F.array_contains(m["provenance"][c], RULES))
+    further = F.array_except(m["control_ids"], by_rule)
+
+    def first(ids: Column, lead: str, told=lambda c: c) -> Column:
+        return F.when(F.size(ids) > 0, F.concat(F.lit(lead), F.array_join(F.transform(F.slice(ids, 1, most), told), ", ")))
+
+    parts = F.array_compact(F.array(first(by_rule, MATCHED, lambda c: F.coalesce(names[c], c)), first(further, ADDED), F.lit(EXPANDED)))
+    found = F.concat(F.array_join(parts, "; "), F.lit("."))
+    return F.when(F.size(m["control_ids"]) > 0, found).when(m["benign"], QUIET).otherwise(ESCALATED)
 
 
 def resolve(findings: DataFrame, grounded: Column | None = None) -> DataFrame:
