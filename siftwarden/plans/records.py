@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.operators import logparse, nested, orphans, packed
-from siftwarden.sources.tables import stored, table
+from siftwarden.sources.tables import still_there, stored, table
 
 
 def _referring(spark: SparkSession, folder: str) -> list[DataFrame]:
@@ -51,7 +51,7 @@ _STAGES: dict[tuple[str, str], DataFrame] = {}
 
 def _stage(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _STAGES:
+    if key not in _STAGES or not still_there(_STAGES[key]):
         _STAGES[key] = stored(p3_triples(spark, folder))
     return _STAGES[key]
 

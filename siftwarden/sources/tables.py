@@ -67,3 +67,13 @@ def stored(df: DataFrame) -> DataFrame:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a stored frame are where they were written."""
+    files = df.inputFiles()
+    if not files:
+        return False
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(files[0])
+    return bool(place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place))

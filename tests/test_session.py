@@ -32,3 +32,14 @@ def test_only_small_scans_are_dealt_out(spark, tmp_path):
     assert "Exchange" in plan(tables.spread_out(df))
     assert "Exchange" not in plan(tables.spread_out(df, size - 1))
     assert tables.spread_out(df).count() == 1000
+
+
+def test_a_stage_that_was_cleared_away_is_made_again(spark, data):
+    from siftwarden.plans import records
+
+    before = records.QUERIES["p3_tokens"](spark, data).count()
+    stage = records._STAGES[(spark.sparkContext.applicationId, data)]
+    for f in stage.inputFiles():
+        os.remove(f.removeprefix("file://"))
+    assert not tables.still_there(stage)
+    assert records.QUERIES["p3_tokens"](spark, data).count() == before > 0
