@@ -218,12 +218,14 @@ def _merge(keys: list[str], k: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = pa.table([batch.column(i) for i in range(len(keys) + 3)], [*keys, "low", "span", "n"])
             held = rows if held is None else pa.concat_tables([held, rows])
             heads, nodes = _groups(held, keys)
             nodes = [compressed(x, k) for x in nodes]
             yield from out(heads.slice(0, len(nodes) - 1), nodes[:-1])
-            held = _ungrouped(heads.slice(len(nodes) - 1), nodes[-1:], keys) if nodes else None
+            held = _ungrouped(heads.slice(len(nodes) - 1), nodes[-1:], keys)
         if held is not None:
             yield from out(*_groups(held, keys))
 
