@@ -75,3 +75,14 @@ def test_first_object_takes_time_with_the_length():
     assert deepjson.first_object("{" * 200_000) is None
     assert deepjson.first_object('see {x} {"a": {"b": 1}, "c') == (14, 22)
     assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("part", ["{", '{"a":x', '{"a" ', '{"\n'])
+def test_many_failing_objects_take_time_with_the_length(part):
+    def took(n):
+        began = time.process_time()
+        assert deepjson.first_object(part * n) is None
+        return time.process_time() - began
+
+    took(1000)
+    assert took(320_000) < 50 * took(20_000)  # 16 times the length
