@@ -48,11 +48,12 @@ def mapping_rationale(spark, folder):
 
 
 def mapping_catalog(spark, folder):
-    """Mappings by the loaded catalog instead of the built-in tables."""
+    """Mappings by the loaded catalog instead of the built-in tables. They depend on the set of
+    controls alone, so findings are counted by set before the catalog's ids are looked up."""
     walk = catalog.crosswalk(table(spark, folder, "scf_sample"))
     m = F.col("mapping")
-    rows = mapping.with_catalog(sec._resolved(spark, folder), walk)
-    return rows.groupBy(F.array_join(F.array_sort(m["control_ids"]), ",").alias("controls"), F.size(m["nist_subcategories"]).alias("n_nist"), F.get(m["nist_subcategories"], F.lit(0)).alias("first_nist"), F.size(m["hipaa_sections"]).alias("n_hipaa"), F.array_join(F.array_sort(F.map_keys("frameworks")), ",").alias("frameworks")).agg(F.count(F.lit(1)).alias("n"))
+    rows = mapping.with_catalog(stored(mapping.by_set(sec._resolved(spark, folder))), walk)
+    return rows.select(F.array_join(F.array_sort(m["control_ids"]), ",").alias("controls"), F.size(m["nist_subcategories"]).alias("n_nist"), F.get(m["nist_subcategories"], F.lit(0)).alias("first_nist"), F.size(m["hipaa_sections"]).alias("n_hipaa"), F.array_join(F.array_sort(F.map_keys("frameworks")), ",").alias("frameworks"), "n")
 
 
 def scf_nist_fallback(spark, folder):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwarden import agents, api
 from siftwarden.operators import catalog, graphs, mapping, metrics, normalise, policy, redaction, scoring
 from siftwarden.packs import frameworks
+from siftwarden.plans import surface
 from siftwarden.sources import sinks
 from siftwarden.streaming import pipeline
 
@@ -59,6 +60,19 @@ def test_a_loaded_catalog_replaces_the_tables(spark):
     assert mapping.with_catalog(events.withColumn("mapping", m), walk.limit(0)).where("size(frameworks) > 0").count() == 0
 
 
+def test_the_catalog_is_looked_up_for_sets_not_for_findings(spark, data, monkeypatch):
+    given, plain = [], mapping.with_catalog
+    monkeypatch.setattr(mapping, "with_catalog", lambda found, walk: given.append(found.count()) or plain(found, walk))
+    rows = surface.mapping_catalog(spark, data).collect()
+    assert given == [len(rows)] and sum(r.n for r in rows) == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_findings_by_set_of_controls(spark):
+    events = spark.createDataFrame([(["B", "A"],), (["A", "B"],), (["A"],), ([],), ([],)], "ids array<string>").select(F.struct(F.col("ids").alias("control_ids")).alias("mapping"))
+    assert {(*r.mapping.control_ids, r.n) for r in mapping.by_set(events).collect()} == {("A", "B", 2), ("A", 1), (2,)}
+    assert mapping.by_set(events.limit(0)).count() == 0
+
+
 def test_hash_of_canonical_json(spark):
     rng = random.Random(5)
     text = lambda: rng.choice([None, "", "a", 'q"\\/\n\t\x01\x7f', "é", "日本", "😀 x"])
